@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op8_pair_index_bpe
+from tidemark.llm.decontaminate import op6_prefix_decontaminate
 from tidemark.llm.idfiles import op4_ranked_id_files
 from tidemark.llm.sharding import op3_hypergeometric_shards
 
 QUERIES = {
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_ranked_id_files": op4_ranked_id_files,
+    "op6_prefix_decontaminate": op6_prefix_decontaminate,
     "op8_pair_index_bpe": op8_pair_index_bpe,
 }
 
