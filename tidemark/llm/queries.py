@@ -5,9 +5,11 @@ from __future__ import annotations
 from tidemark.llm.bpe import op8_pair_index_bpe
 from tidemark.llm.decontaminate import op6_prefix_decontaminate
 from tidemark.llm.idfiles import op4_ranked_id_files
+from tidemark.llm.repeats import op2_automata_repeats
 from tidemark.llm.sharding import op3_hypergeometric_shards
 
 QUERIES = {
+    "op2_automata_repeats": op2_automata_repeats,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_ranked_id_files": op4_ranked_id_files,
     "op6_prefix_decontaminate": op6_prefix_decontaminate,
