@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.bpe import op8_pair_index_bpe
 from tidemark.llm.decontaminate import op6_prefix_decontaminate
 from tidemark.llm.idfiles import op4_ranked_id_files
+from tidemark.llm.jaccard import op9_token_group_jaccard
 from tidemark.llm.repeats import op2_automata_repeats
 from tidemark.llm.sharding import op3_hypergeometric_shards
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_ranked_id_files": op4_ranked_id_files,
     "op6_prefix_decontaminate": op6_prefix_decontaminate,
     "op8_pair_index_bpe": op8_pair_index_bpe,
+    "op9_token_group_jaccard": op9_token_group_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
