@@ -8,8 +8,10 @@ from tidemark.llm.idfiles import op4_ranked_id_files
 from tidemark.llm.jaccard import op9_token_group_jaccard
 from tidemark.llm.repeats import op2_automata_repeats
 from tidemark.llm.sharding import op3_hypergeometric_shards
+from tidemark.llm.toxicity import op1_boosted_toxicity
 
 QUERIES = {
+    "op1_boosted_toxicity": op1_boosted_toxicity,
     "op2_automata_repeats": op2_automata_repeats,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_ranked_id_files": op4_ranked_id_files,
