@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op8_pair_index_bpe
 from tidemark.llm.decontaminate import op6_prefix_decontaminate
 from tidemark.llm.idfiles import op4_ranked_id_files
 from tidemark.llm.jaccard import op9_token_group_jaccard
+from tidemark.llm.quality import op5_risk_controlled_quality
 from tidemark.llm.repeats import op2_automata_repeats
 from tidemark.llm.sharding import op3_hypergeometric_shards
 from tidemark.llm.toxicity import op1_boosted_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_automata_repeats": op2_automata_repeats,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_ranked_id_files": op4_ranked_id_files,
+    "op5_risk_controlled_quality": op5_risk_controlled_quality,
     "op6_prefix_decontaminate": op6_prefix_decontaminate,
     "op8_pair_index_bpe": op8_pair_index_bpe,
     "op9_token_group_jaccard": op9_token_group_jaccard,
