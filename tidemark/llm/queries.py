@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op8_pair_index_bpe
 from tidemark.llm.decontaminate import op6_prefix_decontaminate
+from tidemark.llm.html import op10_tag_path_html
 from tidemark.llm.idfiles import op4_ranked_id_files
 from tidemark.llm.jaccard import op9_token_group_jaccard
 from tidemark.llm.quality import op5_risk_controlled_quality
 from tidemark.llm.repeats import op2_automata_repeats
 from tidemark.llm.sharding import op3_hypergeometric_shards
 from tidemark.llm.toxicity import op1_boosted_toxicity
+from tidemark.llm.urls import op7_markov_url_filter
 
 QUERIES = {
     "op1_boosted_toxicity": op1_boosted_toxicity,
@@ -18,8 +20,10 @@ QUERIES = {
     "op4_ranked_id_files": op4_ranked_id_files,
     "op5_risk_controlled_quality": op5_risk_controlled_quality,
     "op6_prefix_decontaminate": op6_prefix_decontaminate,
+    "op7_markov_url_filter": op7_markov_url_filter,
     "op8_pair_index_bpe": op8_pair_index_bpe,
     "op9_token_group_jaccard": op9_token_group_jaccard,
+    "op10_tag_path_html": op10_tag_path_html,
 }
 
 ORACLES: dict[str, str] = {}
