@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidemark.plans import activity, calendar  # noqa: E402, F401
+from tidemark.plans import activity, calendar, lineage, practice, recall, search, text  # noqa: E402, F401
