@@ -34,11 +34,15 @@ def numeral(text: Column) -> Column:
     return F.when(known, value)
 
 
+#: What chapter titles are compared without.
+TITLE_NUMBER = r"^(?:第[一二三四五六七八九十百\d]+章|\d+)[\s、.．]*"
+TITLE_DROPPED = r"[\s·•:：,，。.!！?？()（）\[\]【】/／与及和病变]"
+
+
 def bare_title(title: Column) -> Column:
     """A chapter title without its number, joining words and punctuation, for comparison."""
-    t = F.regexp_replace(title, r"^(?:第[一二三四五六七八九十百零]+[章节篇]|\d+\s*[.、．])\s*[、.．:：]?\s*", "")
-    t = F.regexp_replace(t, r"[\s与和及的、，,。.；;：:（）()《》]", "")
-    return F.replace(F.replace(t, F.lit("过敏"), F.lit("敏感")), F.lit("病变"), F.lit("病"))
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), TITLE_NUMBER, ""), TITLE_DROPPED, "")
+    return F.replace(bare, F.lit("过敏"), F.lit("敏感"))
 
 
 def bilingual(title: Column) -> tuple[Column, Column]:

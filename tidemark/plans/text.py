@@ -97,7 +97,7 @@ def page_bin_packing(spark, sf_dir):
     return D.pages(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 5000)
 
 
-_TITLES = ("第一章 牙髓根尖周病", "1. 牙周组织解剖与生理", "anesthesia：麻醉", "牙根拔除术（exodontia）", "第十二节 过敏 病变")
+_TITLES = ("第一章 牙髓根尖周病", "1. 牙周组织解剖与生理", "anesthesia：麻醉", "牙根拔除术（exodontia）", "第十章、牙源性肿瘤和瘤样病变", "过敏 病变")
 _NUMBERS = {"一": 1, "十": 10, "十二": 12, "二十": 20, "九十九": 99, "一百零三": 103, "三百二十": 320}
 
 
@@ -106,8 +106,8 @@ def chinese_numeral_parse(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in _NUMBERS], "numeral string").select("numeral", X.numeral(F.col("numeral")).alias("value"))
 
 
-@query("""SELECT * FROM (VALUES ('第一章 牙髓根尖周病', '牙髓根尖周病', '第一章 牙髓根尖周病', ''), ('1. 牙周组织解剖与生理', '牙周组织解剖生理', '1. 牙周组织解剖与生理', ''), ('anesthesia：麻醉', 'anesthesia麻醉', 'anesthesia', '麻醉'),
-('牙根拔除术（exodontia）', '牙根拔除术exodontia', '牙根拔除术（exodontia）', ''), ('第十二节 过敏 病变', '敏感病', '第十二节 过敏 病变', '')) v(title, bare, term, translation)""")
+@query("""SELECT * FROM (VALUES ('第一章 牙髓根尖周病', '牙髓根尖周', '第一章 牙髓根尖周病', ''), ('1. 牙周组织解剖与生理', '牙周组织解剖生理', '1. 牙周组织解剖与生理', ''), ('anesthesia：麻醉', 'anesthesia麻醉', 'anesthesia', '麻醉'),
+('牙根拔除术（exodontia）', '牙根拔除术exodontia', '牙根拔除术（exodontia）', ''), ('第十章、牙源性肿瘤和瘤样病变', '牙源性肿瘤瘤样', '第十章、牙源性肿瘤和瘤样病变', ''), ('过敏 病变', '敏感', '过敏 病变', '')) v(title, bare, term, translation)""")
 def title_normalizer(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in _TITLES], "title string")
     term, translation = X.bilingual(F.col("title"))
