@@ -12,7 +12,10 @@ _MASTERY = "CASE event_type WHEN 'view' THEN 'learning' WHEN 'click' THEN 'fuzzy
 _LAST_SQL = f"""last AS (SELECT user_id AS item_id, arg_max({_MASTERY}, event_id) AS mastery, arg_max(ts, event_id) + to_hours(CAST(user_id % 300 AS BIGINT)) AS next_review_at FROM events GROUP BY 1),
 progress AS (SELECT item_id, mastery, CASE WHEN item_id % 11 = 0 THEN NULL ELSE next_review_at END AS next_review_at FROM last), now AS (SELECT TIMESTAMP '2024-02-03 12:00:00' AS t)"""
 _DUE = "(next_review_at IS NULL OR next_review_at <= t OR (mastery IN ('learning', 'fuzzy') AND next_review_at <= t + INTERVAL 2 HOUR))"
-_NOW = F.expr("TIMESTAMP_NTZ '2024-02-03 12:00:00'")
+
+
+def _now():
+    return F.expr("TIMESTAMP_NTZ '2024-02-03 12:00:00'")
 
 
 def _ratings(spark, sf_dir):
@@ -28,12 +31,12 @@ def _progress(spark, sf_dir):
 @query(f"""WITH {_LAST_SQL} SELECT item_id, mastery FROM progress, now WHERE {_DUE}
 ORDER BY CASE mastery WHEN 'learning' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END, next_review_at NULLS FIRST, item_id LIMIT 20""")
 def due_items_priority(spark, sf_dir):
-    return R.due(_progress(spark, sf_dir), _NOW, 20).select("item_id", "mastery")
+    return R.due(_progress(spark, sf_dir), _now(), 20).select("item_id", "mastery")
 
 
 @query(f"WITH {_LAST_SQL} SELECT coalesce(mastery, 'all') AS mastery, count(*) AS due FROM progress, now WHERE {_DUE} GROUP BY GROUPING SETS ((), (mastery))")
 def due_counts(spark, sf_dir):
-    return R.due_counts(_progress(spark, sf_dir), _NOW, "mastery").select(F.coalesce("mastery", F.lit("all")).alias("mastery"), "due")
+    return R.due_counts(_progress(spark, sf_dir), _now(), "mastery").select(F.coalesce("mastery", F.lit("all")).alias("mastery"), "due")
 
 
 @query(f"""WITH {_LAST_SQL}, items AS (SELECT c_custkey AS item_id, c_mktsegment AS subject FROM customer)
