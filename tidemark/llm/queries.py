@@ -7,6 +7,7 @@ from tidemark.llm.decontaminate import op6_prefix_decontaminate
 from tidemark.llm.html import op10_tag_path_html
 from tidemark.llm.idfiles import op4_ranked_id_files
 from tidemark.llm.jaccard import op9_token_group_jaccard
+from tidemark.llm.oracles import DECONTAMINATION, JACCARD, REPEATS
 from tidemark.llm.quality import op5_risk_controlled_quality
 from tidemark.llm.repeats import op2_automata_repeats
 from tidemark.llm.sharding import op3_hypergeometric_shards
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_tag_path_html": op10_tag_path_html,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_automata_repeats": REPEATS,
+    "op6_prefix_decontaminate": DECONTAMINATION,
+    "op9_token_group_jaccard": JACCARD,
+}
