@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bitmap import bitmap, in_bitmap
 from tidemark.llm.components import components
 from tidemark.llm.shared import text_bytes, texts, written
 from tidemark.llm.words import chunks, words
@@ -43,6 +44,8 @@ GROWTH = 1.08
 MEMBERS = 1024
 QUERIES = 4096
 OPEN_BYTES = 24 << 20
+#: of the bitmap of documents to open; a full one opens more than it must
+MOST_BITS = 1 << 29
 _FLUSH = 1_500_000
 _COMMON_BIT = 1 << 62
 
@@ -165,62 +168,65 @@ def qualifying(firsts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
     return rows.select("set", "group", "bucket").distinct(), queries.select("set", "group", "bucket")
 
 
-def _forest(members: list[np.ndarray], queries: list[np.ndarray]) -> np.ndarray:
+def _short(code: np.ndarray) -> bytes:
+    """Six bytes of each shingle: sets of n shingles then agree in one too many once in 2**48 / n**2 pairs."""
+    return code.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
+def _linked(sets: list[np.ndarray], member: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Whether each member and query link, as a matrix of booleans."""
-    m, q = len(members), len(queries)
+    m, q = len(member), len(query)
+    size = np.array(list(map(len, sets)))
     if m * q <= 16:
-        both = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in queries] for a in members])
+        both = np.array([[len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for b in query] for a in member])
     else:
-        flat = np.concatenate([*members, *queries])
-        of = np.repeat(np.arange(m + q), [len(x) for x in (*members, *queries)])
-        _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
+        _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         keep = n[token] > 1
         number = np.cumsum(n > 1) - 1
-        token, of = number[token[keep]], of[keep]
-        both = np.zeros((m, q), np.float32)
-        width = max(64, min(4096, (8 << 20) // (m + q)))
+        token, of = number[token[keep]], np.repeat(np.arange(len(sets)), size)[keep]
         order = np.argsort(token, kind="stable")
         token, of = token[order], of[order]
+        both, width = np.zeros((m, q), np.float32), max(64, min(4096, (8 << 20) // len(sets)))
         for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
             a, b = np.searchsorted(token, [lo, lo + width])
-            has = np.zeros((m + q, width), np.float32)
+            has = np.zeros((len(sets), width), np.float32)
             has[of[a:b], token[a:b] - lo] = 1
-            both += has[:m] @ has[m:].T
-    size = np.array([len(x) for x in members])[:, None] + np.array([len(x) for x in queries])[None, :]
-    return both * 7 >= size * 3
+            both += has[member] @ has[query].T
+    return both * 7 >= (size[member][:, None] + size[query][None, :]) * 3
 
 
-def _spanning(name: np.ndarray, m: int, linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that tie each member and query to the smallest name of its part of the block."""
-    label = name.copy()
+def _spanning(name: np.ndarray, member: np.ndarray, query: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that tie each set of a block to the smallest name of its part. linked: rows are the members, columns the queries."""
+    label, big = name.copy(), np.iinfo(np.int64).max
     while True:
         was = label.copy()
-        big = np.iinfo(np.int64).max
-        label[m:] = np.minimum(label[m:], np.where(linked, label[:m, None], big).min(axis=0, initial=big))
-        label[:m] = np.minimum(label[:m], np.where(linked, label[None, m:], big).min(axis=1, initial=big))
-        known, at = np.unique(name, return_inverse=True)  # a member may be a query as well
-        low = np.full(len(known), big)
-        np.minimum.at(low, at, label)
-        label = low[at]
+        label[query] = np.minimum(label[query], np.where(linked, label[member][:, None], big).min(axis=0, initial=big))
+        label[member] = np.minimum(label[member], np.where(linked, label[query][None, :], big).min(axis=1, initial=big))
         if (label == was).all():
             return [(a, b) for a, b in zip(name.tolist(), label.tolist(), strict=True) if a != b]
 
 
 def _open(table: pa.Table) -> pa.Table:
     keys = [np.asarray(table.column(c)) for c in ("group", "bucket", "block", "chunk")]
-    query, name = np.asarray(table.column("query")), np.asarray(table.column("doc_id"))
-    order = np.lexsort((name, query, *keys))
+    member, query, name = (np.asarray(table.column(c)) for c in ("member", "query", "doc_id"))
+    order = np.lexsort((name, *keys))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
     tokens, edges = table.column("tokens"), []
     for own in np.split(order, np.flatnonzero(new)[1:]):
-        m = int((query[own] == 0).sum())
-        if not m or m == len(own):
+        m, q = np.flatnonzero(member[own]), np.flatnonzero(query[own])
+        if len(own) < 2 or not len(m) or not len(q):
             continue
-        sets = [np.frombuffer(tokens[int(i)].as_py(), np.int64) for i in own]
-        edges += _spanning(name[own], m, _forest(sets[:m], sets[m:]))
+        sets = [_long(tokens[int(i)].as_py()) for i in own]
+        edges += _spanning(name[own], m, q, _linked(sets, m, q))
     a, b = zip(*set(edges), strict=True) if edges else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -234,27 +240,32 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("m")).join(queries.groupBy(key).agg(F.count(F.lit(1)).alias("q"), F.max("set").alias("any")), key)
     alone = members.join(sizes.where("m = 1 and q = 1"), key).where("set = any").select(*key)  # a group that only its one member asks for
     sizes = sizes.join(alone, key, "left_anti").select(*key, F.ceil(F.col("m") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("chunks"))
-    both = members.withColumn("query", F.lit(0)).unionByName(queries.withColumn("query", F.lit(1))).join(sizes, key)
+    both = members.select("set", *key, F.lit(True).alias("member"), F.lit(False).alias("query")).unionByName(queries.select("set", *key, F.lit(False).alias("member"), F.lit(True).alias("query"))).join(sizes, key)
     pick = lambda n: F.array(F.pmod(F.xxhash64("set"), F.col(n)).cast("int"))
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     ship = (
-        both.withColumn("block", F.explode(F.when(F.col("query") == 0, pick("blocks")).otherwise(spread("blocks"))))
-        .withColumn("chunk", F.explode(F.when(F.col("query") == 1, pick("chunks")).otherwise(spread("chunks"))))
-        .select(*key, "block", "chunk", "query", "set")
+        both.withColumn("block", F.explode(F.when(F.col("member"), pick("blocks")).otherwise(spread("blocks"))))
+        .withColumn("chunk", F.explode(F.when(F.col("query"), pick("chunks")).otherwise(spread("chunks"))))
+        .groupBy(*key, "block", "chunk", "set").agg(F.max("member").alias("member"), F.max("query").alias("query"))
     )
     ship = written(ship.join(sets, "set"))
-    need = ship.select("doc_id", "set").distinct()
-    shards = max(1, -(-8 * int(ship.agg(F.sum("n").alias("n")).first()["n"] or 0) // OPEN_BYTES))
+    need = ship.select("doc_id").distinct()
+    size = ship.agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs")).first()
+    shards = max(1, -(-8 * int(size["n"] or 0) // OPEN_BYTES))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(need, "doc_id", 32 * size["docs"], MOST_BITS))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, code, at in shingle_sets(batches):
-            own = _set_ids(code, at)
-            good = [i for i, (s, t) in enumerate(zip(own, batch.column("set").to_pylist(), strict=True)) if s == t]
-            yield pa.record_batch([pa.array([own[i] for i in good], pa.int64()), pa.array([code[at[i] : at[i + 1]].tobytes() for i in good], pa.binary())], ["set", "tokens"])
-
-    loaded = docs.join(need, "doc_id").mapInArrow(load, "set long, tokens binary")
-    rows = ship.join(loaded, "set").withColumn("shard", F.pmod(F.xxhash64(*key, "block", "chunk"), F.lit(shards)))
-    return rows.select("shard", *key, "block", "chunk", "query", "doc_id", "tokens").groupBy("shard").applyInArrow(_open, "a long, b long")
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, np.array(batch.column("doc_id").to_pylist(), np.int64))))
+            for part, code, at in shingle_sets([batch]):
+                own = _set_ids(code, at)
+                yield pa.record_batch([part.column("doc_id"), pa.array(own, pa.int64()), pa.array([_short(code[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "set", "tokens"])
+
+    # a row of the wanted doc_id and set; others that the bitmap let through find no partner
+    loaded = docs.mapInArrow(load, "doc_id long, set long, tokens binary")
+    rows = ship.join(loaded.hint("merge"), ["doc_id", "set"])
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(*key, "block", "chunk"), F.lit(shards)))
+    return rows.select("shard", *key, "block", "chunk", "member", "query", "doc_id", "tokens").groupBy("shard").applyInArrow(_open, "a long, b long")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
