@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.bitmap import bitmap, in_bitmap
 from tidemark.llm.shared import text_bytes
 from tidemark.llm.words import Words, chunks, words
 
@@ -39,7 +40,6 @@ PHRASE = 8
 SHARD_TEXT_BYTES = 12 << 20
 MOST_BITS = 1 << 29
 _LAST = (1 << 63) - 1
-_PART = 1 << 16
 
 
 def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,30 +71,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring_bits(docs: DataFrame, total_bytes: int, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A bitmap over anchors of two documents or more, as bytes of eight bits. At most most_bits / 8 bytes reach the driver."""
+    """A bitmap over the anchors of two documents or more."""
     found = (
         docs.mapInArrow(_anchor_rows, "anchor long, low long, high long")
         .groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
     )
-    size = max(8 * _PART, min(most_bits, 1 << (total_bytes // 16).bit_length()))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            bit = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(size)
-            np.bitwise_or.at(packed, (bit >> np.uint64(3)).astype(np.int64), np.left_shift(1, bit & np.uint64(7)).astype(np.uint8))
-        packed = packed.reshape(-1, _PART)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.record_batch([pa.array(some, pa.int64()), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
-
-    def join(table: pa.Table) -> pa.Table:
-        both = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "bits": pa.array([both.tobytes()], pa.binary())})
-
-    out = np.zeros(size // 8, np.uint8)
-    for r in found.mapInArrow(mark, "part long, bits binary").groupBy("part").applyInArrow(join, "part long, bits binary").collect():
-        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return bitmap(found, "anchor", total_bytes // 16, most_bits)
 
 
 class _Seen:
@@ -142,8 +124,7 @@ def stretches(docs: DataFrame, shards: int, bits: np.ndarray) -> DataFrame:
         for batch, raw in chunks(batches):
             w = words(raw)
             code, fits, anchor = anchors(w)
-            bit = anchor.view(np.uint64) % np.uint64(8 * len(bits))
-            pos = np.flatnonzero(fits & ((bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
+            pos = np.flatnonzero(fits & in_bitmap(bits, anchor))
             keys, text_code = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("doc_id", "text_code"))
             doc = w.doc[pos]
             code, anchor, key = code[pos], anchor[pos], keys[doc]
