@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bitmap import without
 from tidemark.llm.bpe import encode_and_decode
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import near_copies
@@ -24,13 +25,13 @@ from tidemark.llm.toxicity import score
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, and those without an id."""
     scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, written(scored.where("predicted = 1").select("doc_id").distinct()), "doc_id")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest doc_id."""
     found = near_copies(docs)
-    return docs.join(found.where("component_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, written(found.where("component_id != doc_id").select("doc_id").distinct()), "doc_id")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -367,3 +367,13 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in near_copies(rows).collect())
     assert got == [(-1, -1), (-1, -1), (2, 2), (4, 2), (4, 2), (7, 7)]
     assert sorted(r["slot"] for r in shard_rows(rows, 2).collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_without(spark):
+    from tidemark.llm.bitmap import without
+
+    rows = spark.createDataFrame([(i if i % 5 else None, str(i)) for i in range(300)], "doc_id long, text string")
+    for most in (8, 1 << 29):
+        got = without(rows, spark.range(100, 200).withColumnRenamed("id", "doc_id"), "doc_id", most)
+        assert sorted(int(r["text"]) for r in got.collect()) == [i for i in range(300) if not (i % 5 and 100 <= i < 200)]
+    assert without(rows, spark.createDataFrame([], "doc_id long"), "doc_id").count() == 300
