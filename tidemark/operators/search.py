@@ -34,12 +34,18 @@ def top(results: DataFrame, most: int) -> DataFrame:
 
 
 def contained_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of titles of which one begins with the other, each non-blank. (id, title) each.
+    """Pairs of non-blank titles of which one contains the other. (id, title) each.
 
-    An equi-join on every beginning of the longer title takes the place of comparing all pairs.
+    An equi-join on the pieces of the longer title, of the lengths that the other side has,
+    takes the place of comparing all pairs. Titles are short, and so are there few lengths.
     """
-    beginnings = lambda d, name: d.where(F.length("title") > 0).select(F.col("id").alias(name), "title", F.explode(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.substring(F.col("title"), F.lit(1), i))).alias("key"))
-    whole = lambda d, name: d.where(F.length("title") > 0).select(F.col("id").alias(name), F.col("title").alias("key"))
-    a = whole(left, "left_id").join(beginnings(right, "right_id"), "key").select("left_id", "right_id")
-    b = beginnings(left, "left_id").join(whole(right, "right_id"), "key").select("left_id", "right_id")
-    return a.union(b).distinct()
+    a, b = (d.where(F.length("title") > 0).select("id", "title") for d in (left, right))
+
+    def inside(short: DataFrame, long: DataFrame, names: tuple[str, str]) -> DataFrame:
+        lengths = short.agg(F.collect_set(F.length("title")).alias("lengths"))
+        fits = long.crossJoin(F.broadcast(lengths)).select("id", "title", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("title"))
+        starts = F.sequence(F.lit(1), F.length("title") - F.col("n") + 1)
+        pieces = fits.select(F.col("id").alias(names[1]), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("title"), i, F.col("n"))))).alias("title"))
+        return short.withColumnRenamed("id", names[0]).join(pieces, "title").select("left_id", "right_id")
+
+    return inside(a, b, ("left_id", "right_id")).union(inside(b, a, ("right_id", "left_id"))).distinct()

@@ -110,9 +110,9 @@ def continue_target(spark, sf_dir):
     return A.continue_target(activities(spark, sf_dir))
 
 
-@query(f"""WITH {COALESCED_SQL}, reviewed AS (SELECT DISTINCT date FROM activities WHERE activity_type = 'review' AND CAST(item_id AS INT) % 10 = 0)
+@query(f"""WITH {COALESCED_SQL}, reviewed AS (SELECT DISTINCT date FROM activities WHERE activity_type = 'review' AND duration_seconds >= 350)
 SELECT CAST(max(date) AS VARCHAR) AS pending_day FROM effective WHERE activity_type <> 'review' AND date < (SELECT max(date) FROM activities) AND date NOT IN (SELECT date FROM reviewed)""")
 def pending_review_day(spark, sf_dir):
     a = activities(spark, sf_dir)
-    reviewed = a.where(A.is_completed_review() & (F.col("item_id").cast("int") % 10 == 0)).select("date").distinct()
+    reviewed = a.where(A.is_completed_review() & (F.col("duration_seconds") >= 350)).select("date").distinct()
     return A.pending_review_day(a, reviewed, as_of(a)).select(F.col("pending_day").cast("string").alias("pending_day"))

@@ -20,7 +20,7 @@ f AS (SELECT question_id AS id, unnest(list_filter([
   CASE WHEN question_type = 'single_choice' AND two THEN 'E020' END, CASE WHEN no_ref THEN 'E023' END, CASE WHEN analysis IS NULL THEN 'E025' END, CASE WHEN status <> 'ready' THEN 'E026' END, CASE WHEN local_number < 1 THEN 'E055' END,
   CASE WHEN kid IS NULL THEN 'W002' END, CASE WHEN question_type = 'multiple_choice' AND NOT two THEN 'W003' END, CASE WHEN two AND a1 = a2 THEN 'W009' END, CASE WHEN local_number IS NULL THEN 'W013' END], lambda x: x IS NOT NULL)) AS code FROM q
   UNION ALL SELECT question_id, 'E028' FROM (SELECT *, row_number() OVER (PARTITION BY unit, question_type, local_number ORDER BY k) AS n FROM q) WHERE n > 1
-  UNION ALL SELECT question_id, 'E022' FROM q WHERE kid IS NOT NULL AND kid NOT IN (SELECT 'x.k' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)),
+  UNION ALL SELECT question_id, 'E022' FROM q WHERE kid IS NOT NULL AND kid NOT IN (SELECT 'x.k' || n_nationkey FROM nation)),
 findings AS (SELECT id, CASE WHEN code LIKE 'E%' THEN 'blocker' ELSE 'warning' END AS severity, code FROM f)"""
 
 
@@ -40,7 +40,7 @@ def _questions(spark, sf_dir):
 
 def _findings(spark, sf_dir):
     q = _questions(spark, sf_dir)
-    known = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("x.k"), "s_suppkey").alias("knowledge_id"))
+    known = table(spark, sf_dir, "nation").select(F.concat(F.lit("x.k"), "n_nationkey").alias("knowledge_id"))
     return (
         Q.row_findings(q, Q.question_rules(), "question_id")
         .unionByName(Q.repeated(q, "question_id", "k", "E028", "unit", "question_type", "local_number"))

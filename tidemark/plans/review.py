@@ -25,11 +25,11 @@ def review_subject_groups(spark, sf_dir):
 
 
 @query(f"""WITH {ACTIVITIES_SQL}, i AS (SELECT DISTINCT date, 'item' AS field, item_id AS id FROM activities UNION SELECT DISTINCT date, 'resource', resource_id FROM activities)
-SELECT CAST(date AS VARCHAR) AS date, field, count(*) AS missing FROM i WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 <> 0) GROUP BY 1, 2""")
+SELECT CAST(date AS VARCHAR) AS date, field, count(*) AS missing FROM i WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark) GROUP BY 1, 2""")
 def unarchived_ids(spark, sf_dir):
     a = activities(spark, sf_dir)
     ids = a.select("date", F.lit("item").alias("field"), F.col("item_id").alias("id")).unionByName(a.select("date", F.lit("resource").alias("field"), F.col("resource_id").alias("id")))
-    known = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("id"))
+    known = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"))
     return V.unarchived(ids, known).withColumn("date", F.col("date").cast("string"))
 
 

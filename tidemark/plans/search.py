@@ -44,7 +44,7 @@ def search_snippet(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT doc_id AS id, lower(split_part(text, ' ', 1)) AS title FROM documents), b AS (SELECT item_id AS id, lower(split_part(text, ' ', 1)) AS title FROM benchmark)
-SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON starts_with(a.title, b.title) OR starts_with(b.title, a.title) WHERE a.title <> '' AND b.title <> ''""")
+SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON contains(a.title, b.title) OR contains(b.title, a.title) WHERE a.title <> '' AND b.title <> ''""")
 def fuzzy_title_match(spark, sf_dir):
     first = lambda d, k: d.select(F.col(k).alias("id"), F.lower(F.split("text", " ")[0]).alias("title"))
     return S.contained_titles(first(table(spark, sf_dir, "documents"), "doc_id"), first(table(spark, sf_dir, "benchmark"), "item_id"))
