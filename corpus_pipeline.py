@@ -18,22 +18,25 @@ from tidemark.llm.bpe import encode_and_decode
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import near_copies
 from tidemark.llm.repeats import drop_repeats
-from tidemark.llm.shared import written
+from tidemark.llm.shared import bounded, written
 from tidemark.llm.toxicity import score
 
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, and those without an id."""
     scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return without(docs, written(scored.where("predicted = 1").select("doc_id").distinct()), "doc_id")
 
 
+@bounded
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest doc_id."""
     found = near_copies(docs)
     return without(docs, written(found.where("component_id != doc_id").select("doc_id").distinct()), "doc_id")
 
 
+@bounded
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; those of which nothing is left go."""
     cut = drop_repeats(docs).where("n_removed = 0 OR n_words > n_removed")
@@ -43,12 +46,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumns(changed).select(*docs.columns)
 
 
+@bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where("NOT contaminated").select(*docs.columns)
 
 
+@bounded
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_and_decode(docs)
 

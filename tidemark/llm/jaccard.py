@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bitmap import bitmap, in_bitmap
 from tidemark.llm.components import components
 from tidemark.llm.shared import text_bytes, texts, written
-from tidemark.llm.words import chunks, words
+from tidemark.llm.words import chunks, release, words
 
 SHINGLE = 5
 COMMON_SETS = 32
@@ -43,10 +43,10 @@ PART_TEXT_BYTES = 16 << 20
 GROWTH = 1.08
 MEMBERS = 1024
 QUERIES = 4096
-OPEN_BYTES = 24 << 20
+OPEN_BYTES = 16 << 20
 #: of the bitmap of documents to open; a full one opens more than it must
 MOST_BITS = 1 << 29
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 _COMMON_BIT = 1 << 62
 
 
@@ -227,6 +227,7 @@ def _open(table: pa.Table) -> pa.Table:
             continue
         sets = [_long(tokens[int(i)].as_py()) for i in own]
         edges += _spanning(name[own], m, q, _linked(sets, m, q))
+    release()
     a, b = zip(*set(edges), strict=True) if edges else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

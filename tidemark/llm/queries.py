@@ -10,11 +10,12 @@ from tidemark.llm.jaccard import op9_token_group_jaccard
 from tidemark.llm.oracles import DECONTAMINATION, JACCARD, REPEATS
 from tidemark.llm.quality import op5_risk_controlled_quality
 from tidemark.llm.repeats import op2_automata_repeats
+from tidemark.llm.shared import bounded
 from tidemark.llm.sharding import op3_hypergeometric_shards
 from tidemark.llm.toxicity import op1_boosted_toxicity
 from tidemark.llm.urls import op7_markov_url_filter
 
-QUERIES = {
+_RAW = {
     "op1_boosted_toxicity": op1_boosted_toxicity,
     "op2_automata_repeats": op2_automata_repeats,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_group_jaccard": op9_token_group_jaccard,
     "op10_tag_path_html": op10_tag_path_html,
 }
+QUERIES = {name: bounded(f) for name, f in _RAW.items()}
 
 ORACLES = {
     "op2_automata_repeats": REPEATS,

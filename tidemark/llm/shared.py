@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_PER_BATCH = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -35,3 +39,16 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a text column: sizes shards and blocks, so that they follow the data."""
     return int(df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
+
+
+def bounded(f):
+    """f with Arrow batches of ROWS_PER_BATCH rows at most: the default holds 10,000 texts at once, twice in each task."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(key))
+        spark.conf.set(key, str(min(ROWS_PER_BATCH, now) if now > 0 else ROWS_PER_BATCH))
+        return f(spark, *args)
+
+    return run

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import texts, written
+from tidemark.llm.words import release
 
 MOST_LABELLED = 60_000
 MOST_TERMS = 4096
@@ -85,7 +86,7 @@ class _Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = [self.lexicon[t] for t in terms(word) if t in self.lexicon]
         self[word] = value = max(found) if found else -1.0 if word in SECOND_PERSON else 0.0
@@ -123,6 +124,7 @@ def feature_rows(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
                 part = batch.slice(at, 500)
                 x = [features(t or "", weights) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([*(part.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -8,12 +8,14 @@ sequences always agree, unequal ones agree once in about 2**64 pairs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 CHUNK_BYTES = 1 << 19
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -100,19 +102,23 @@ def words(raw: list[bytes], between: bytes = WHITE, fold: bool = False) -> Words
     return Words(buf, start, end, np.searchsorted(start, at), code)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows of about CHUNK_BYTES of text each; a longer text is a chunk of its own. Null counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(column).cast(pa.large_binary())
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64)
+        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
         total, at = np.cumsum(size), 0
         while at < len(size):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK_BYTES, "right")))
-            yield batch.slice(at, to - at), [x or b"" for x in col.slice(at, to - at).to_pylist()]
+            yield batch.slice(at, to - at), [x or b"" for x in batch.column(column).slice(at, to - at).cast(pa.large_binary()).to_pylist()]
             at = to
-
-
-def long_col(batch: pa.RecordBatch, name: str) -> list[int | None]:
-    return batch.column(name).to_pylist()
+    release()
