@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,12 +24,15 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tidemark.llm.pieces import Pieces
+from tidemark.llm.pieces import Pieces, Pretokens
 from tidemark.llm.shared import texts
+from tidemark.llm.words import chunks
 
 VOCABULARY = "byte_bpe_50k.json"
 #: text of one batch of merges
-BATCH_BYTES = 48 << 20
+BATCH_BYTES = 8 << 20
+#: pieces that a worker remembers from batch to batch
+MOST_PIECES = 120_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -49,8 +51,7 @@ class PairIndexBpe:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.encode = Pretokens(regex.compile(public_tokenizers.PATTERN), self.special, self.merge)
         self.bytes_of: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(letters[c] for c in token)
@@ -71,15 +72,18 @@ class PairIndexBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.order[at], -1)
 
-    def merge(self, tokens: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token."""
-        buf = np.frombuffer(b"\0".join(tokens) + b"\0", np.uint8)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    def merge(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in a row, and how many each has."""
+        if not pretokens:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        raw = [t.encode() for t in pretokens]
+        buf = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
         end = np.cumsum(size + 1) - 1
-        sym = self.byte_id[buf].astype(np.int64)
+        sym = self.byte_id[buf]
         sym[end] = -1
         n = len(sym)
-        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        before, after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
         before[0], after[-1] = n - 1, n - 1  # the last symbol is a border
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -124,24 +128,7 @@ class PairIndexBpe:
             after[at], before[beyond] = beyond, at
             enter(np.concatenate([before[at], at]))
         live = sym >= 0
-        per = np.diff(np.concatenate([[0], np.cumsum(live)[end]]))
-        return np.split(sym[live].astype(np.int32), np.cumsum(per)[:-1]) if len(tokens) else []
-
-    def encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece: pre-tokens are told apart, each distinct one is merged once."""
-        number: dict[str, int] = {}
-        rows: list[list[int]] = []
-        for text in pieces:
-            row: list[int] = []
-            for part in self.parts.split(text) if self.parts else [text]:
-                if part in self.special:
-                    row.append(-1 - self.special[part])
-                elif part:
-                    row += [number.setdefault(t, len(number)) for t in self.pattern.findall(part)]
-            rows.append(row)
-        merged = self.merge([t.encode() for t in number])
-        one = lambda i: merged[i] if i >= 0 else np.array([-1 - i], np.int32)
-        return [one(r[0]) if len(r) == 1 else np.concatenate([np.zeros(0, np.int32), *map(one, r)]) for r in rows]
+        return sym[live], np.diff(np.concatenate([[0], np.cumsum(live)[end]]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -150,7 +137,7 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def _kept(path: str) -> tuple[PairIndexBpe, Pieces]:
     bpe = PairIndexBpe(path)
-    return bpe, Pieces(bpe.encode)
+    return bpe, Pieces(bpe.encode, MOST_PIECES)
 
 
 def encode_and_decode(df: DataFrame, path: str | None = None, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,15 +164,12 @@ def encode_and_decode(df: DataFrame, path: str | None = None, batch_bytes: int =
                 pieces.clear()
 
         size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = [x or "" for x in part.column(1).to_pylist()]
-                held.append((part.column(0).to_pylist(), *pieces.numbers(own)))
-                size += sum(map(len, own))
-                if size > batch_bytes:
-                    yield from flush()
-                    size = 0
+        for part, raw in chunks(batches):
+            held.append((part.column(0).to_pylist(), *pieces.numbers(raw)))
+            size += sum(map(len, raw))
+            if size > batch_bytes:
+                yield from flush()
+                size = 0
         yield from flush()
 
     return texts(df, key, text).mapInArrow(run, SCHEMA)

@@ -14,14 +14,14 @@ rank table is one Parquet file beside them. A file is written under a name of it
 task attempt and then renamed, so that a task run twice leaves one whole file.
 
 Defined results: null and empty texts hold the end id alone; rows with one doc_id
-stay rows of their own, in an order fixed by their code; an empty table gives none.
+stay rows of their own, in an order fixed by their code; a null doc_id is kept as -1; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
 import posixpath
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,8 +33,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.pieces import Pieces, split
-from tidemark.llm.shared import shared_dir, text_bytes, texts
+from tidemark.llm.bpe import byte_letters
+from tidemark.llm.pieces import Pieces, Pretokens
+from tidemark.llm.shared import shared_dir, text_bytes, texts, written
+from tidemark.llm.words import chunks
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -48,17 +50,23 @@ _OFFSET = np.cumsum(_FIELD, axis=1) - _FIELD
 _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes."""
-    n = len(ranks)
-    padded = np.zeros(-(-n // 4) * 4, np.uint32)
-    padded[:n] = ranks
-    length = 1 + (padded > 0xFF) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
-    length[n:] = 1
-    field = (length - 1).reshape(-1, 4)
-    control = (field[:, 0] | field[:, 1] << 2 | field[:, 2] << 4 | field[:, 3] << 6).astype(np.uint8)
-    octets = padded.astype("<u4").view(np.uint8).reshape(-1, 4)[:n]
-    return control.tobytes(), octets[np.arange(4) < length[:n, None]].tobytes()
+def pack(ranks: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document; document i has the ranks begins[i]:begins[i + 1]."""
+    length = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    data = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(int(length.max(initial=0))):
+        some = length > k
+        data[ends[:-1][some] + k] = (ranks[some] >> np.uint32(8 * k)).astype(np.uint8)
+    count = np.diff(begins)
+    quads = -(-count // 4)
+    edge = np.concatenate([[0], np.cumsum(quads)])
+    field = np.zeros(4 * int(edge[-1]), np.uint8)  # a document starts at a control byte of its own
+    field[np.arange(len(ranks)) + np.repeat(4 * edge[:-1] - begins[:-1], count)] = length - 1
+    field = field.reshape(-1, 4)
+    control = field[:, 0] | field[:, 1] << 2 | field[:, 2] << 4 | field[:, 3] << 6
+    cut = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return cut(control, edge), cut(data, ends[begins])
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -92,59 +100,57 @@ def file_rows(raw: bytes) -> tuple[int, list[tuple[int, np.ndarray]]]:
 
 @lru_cache(maxsize=2)
 def _kept(path: str) -> tuple[Pieces, int]:
+    import regex
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    lib.no_padding()
-    lib.no_truncation()
+    special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
+    letter = {b: c for c, b in byte_letters().items()}
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for at in range(0, len(pieces), 4096):
-            out += [np.array(e.ids, np.int32) for e in lib.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
-        return out
+    def tokens(pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[t.id for t in lib.model.tokenize(p.encode().decode("latin-1").translate(letter))] for p in pretokens]
+        return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
-    return Pieces(encode), max(END_ID + 1, lib.get_vocab_size(with_added_tokens=True))
+    return Pieces(Pretokens(regex.compile(public_tokenizers.PATTERN), special, tokens)), max(END_ID + 1, lib.get_vocab_size(with_added_tokens=True))
 
 
-def _serial() -> None:
-    """A task has one core; the library would start a thread for each of the machine's."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
-
-def id_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(id, n) over all documents with their end ids; each task sums its own first."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids): ids of each text and its end id, as unsigned 32-bit integers, or 16-bit ones where the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _serial()
         pieces, size = _kept(path)
-        total = np.zeros(size, np.int64)
-
-        def add(seen: Counter) -> None:
-            numbers = np.fromiter(map(pieces.index.__getitem__, seen), np.int64, len(seen))
+        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        for part, raw in chunks(batches):
+            numbers, begins = pieces.numbers(raw)
             pieces.learn()
-            ids, _ = pieces.ids(numbers, np.array([0, len(numbers)]))
-            nonlocal total
-            total += np.bincount(ids, np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), pieces.size[numbers]), size).astype(np.int64)
+            ids, lo = pieces.ids(numbers, begins)
+            ids = np.insert(ids, lo[1:], END_ID).astype(kind)
+            lo = lo + np.arange(len(lo))
+            yield pa.record_batch([part.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(lo[:-1].tolist(), lo[1:].tolist(), strict=True)], pa.binary()), pa.array([kind.itemsize] * part.num_rows, pa.int32())], ["doc_id", "ids", "width"])
             if pieces.full():
                 pieces.clear()
 
-        seen: Counter = Counter()
+    return docs.mapInArrow(run, "doc_id long, ids binary, width int")
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    raw, width = batch.column("ids").to_pylist(), batch.column("width")[0].as_py() if batch.num_rows else 4
+    return np.frombuffer(b"".join(raw), f"<u{width}"), np.cumsum([0, *map(len, raw)]) // width
+
+
+def id_counts(ids: DataFrame) -> DataFrame:
+    """(id, n) over all documents; each task sums its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            total[END_ID] += batch.num_rows
-            for at in range(0, batch.num_rows, 64):
-                for x in batch.column(1).slice(at, 64).to_pylist():
-                    seen.update(split(x or ""))
-                if len(seen) > 400_000:
-                    add(seen)
-                    seen = Counter()
-        add(seen)
+            own = np.bincount(_ids(batch)[0], minlength=len(total))
+            own[: len(total)] += total
+            total = own
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
-    return docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> list[int]:
@@ -160,7 +166,8 @@ def write_id_files(df: DataFrame, folder: str, path: str | None = None, key: str
     """Write df's ids under folder (a URI that all executors reach) and give (number, documents, ids) per file."""
     spark, path = df.sparkSession, path or public_tokenizers.path(VOCABULARY)
     docs = texts(df, key, text)
-    by_rank = rank_table(id_counts(docs, path))
+    ids = written(encoded(docs, path))
+    by_rank = rank_table(id_counts(ids))
     spark.createDataFrame(pd.DataFrame({"id": np.array(by_rank, np.int64), "rank": np.arange(len(by_rank))}), "id long, rank long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(1 + max(by_rank, default=0), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
@@ -170,23 +177,17 @@ def write_id_files(df: DataFrame, folder: str, path: str | None = None, key: str
     cuts = sorted(set(docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / files) for i in range(1, files)]), F.lit(100_000))).first()[0] or [])) if files > 1 else []
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _serial()
-        pieces, _ = _kept(path)
         table, edges = ranks.value, np.array(cuts, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                numbers, begins = pieces.numbers([x or "" for x in part.column(1).to_pylist()])
-                pieces.learn()
-                ids, lo = pieces.ids(numbers, begins)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own, begins = _ids(part)
+                control, data = pack(table[own], begins)
                 keys = np.array([-1 if k is None else k for k in part.column(0).to_pylist()], np.int64)
-                packed = [pack(np.append(table[ids[a:b]], table[END_ID])) for a, b in zip(lo[:-1], lo[1:], strict=True)]
                 yield pa.record_batch(
-                    [pa.array(np.searchsorted(edges, keys), pa.int64()), pa.array(keys), pa.array(np.diff(lo) + 1), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())],
+                    [pa.array(np.searchsorted(edges, keys), pa.int64()), pa.array(keys), pa.array(np.diff(begins)), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                     ["number", "doc_id", "n", "control", "data"],
                 )
-                if pieces.full():
-                    pieces.clear()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: int | None = None
@@ -211,7 +212,7 @@ def write_id_files(df: DataFrame, folder: str, path: str | None = None, key: str
                 keys.append(k), counts.append(n), controls.append(c), datas.append(d)
         yield from put()
 
-    coded = docs.mapInArrow(code, "number long, doc_id long, n long, control binary, data binary")
+    coded = ids.mapInArrow(code, "number long, doc_id long, n long, control binary, data binary")
     placed = coded.repartition(max(files, spark.sparkContext.defaultParallelism), "number").sortWithinPartitions("number", "doc_id", "n", "control", "data")
     return placed.mapInArrow(write, "number long, documents long, ids long")
 
@@ -243,8 +244,7 @@ def read_id_files(spark, folder: str) -> DataFrame:
 
 def op4_ranked_id_files(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    made = write_id_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    files = spark.createDataFrame(made.collect(), made.schema)  # a row for each file
+    files = written(write_id_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder))  # a row for each file
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     before = files.select("number", F.coalesce(F.sum("ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -11,13 +11,16 @@ from collections.abc import Callable
 
 import numpy as np
 
+from tidemark.llm.words import words
+
+_FIRST = np.uint64(0xA24BAED4963EE407)
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: pieces that a worker remembers at most
 MOST_PIECES = 700_000
 
 
 class _Index(dict):
-    """Piece to its number. A key without a space stands for that piece with a space before it."""
+    """Pre-token to its number."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
@@ -42,47 +45,118 @@ def piece(key: str) -> str:
     return key[1:] if key[:1] == " " else " " + key
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start[i] : start[i] + size[i]] for each i of which, in a row, and where each begins (and the last ends)."""
+    lens = size[which]
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    return flat[np.repeat(start[which] - ends[:-1], lens) + np.arange(ends[-1])], ends
+
+
+class Pretokens:
+    """Ids of pieces, by their distinct pre-tokens. tokens: ids of a list of pre-tokens in a row, and how many each has."""
+
+    def __init__(self, pattern, special: dict[str, int], tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.findall, self.special, self.tokens = pattern.findall, special, tokens
+        self.parts = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+
+    def _split(self, text: str) -> list[str]:
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return [text]
+        if not self.parts or not self.parts.search(text):
+            return self.findall(text)
+        return [t for part in self.parts.split(text) for t in ([part] if part in self.special else self.findall(part))]
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        index = _Index()
+        numbers, counts = [], np.zeros(len(pieces), np.int64)
+        for i, text in enumerate(pieces):
+            own = self._split(text)
+            counts[i] = len(own)
+            numbers += map(index.__getitem__, own)
+        plain = [t for t in index.new if t not in self.special]
+        flat, size = self.tokens(plain)
+        flat, size = np.append(flat, [*self.special.values()]).astype(np.int32), np.append(size, np.ones(len(self.special), np.int64)).astype(np.int64)
+        place = {t: len(plain) + k for k, t in enumerate(self.special)}
+        of = np.zeros(len(index.new), np.int64)
+        of[[t not in self.special for t in index.new]] = np.arange(len(plain))
+        for t in place.keys() & index.keys():
+            of[index[t]] = place[t]
+        ids, ends = gather(flat, np.cumsum(size) - size, size, of[np.array(numbers, np.int64)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
 class Pieces:
-    """encode: ids of each of a list of pieces. The most remembered pieces bound a worker's memory."""
+    """encode: ids of a list of pieces in a row, and how many each has. The most remembered pieces bound a worker's memory.
+
+    A piece is known by a 64-bit code of its bytes, which all pieces of many texts get at once;
+    texts with runs of spaces are split one by one. most bounds the pairs of pieces that codes
+    could confuse as well: about most**2 / 2**65 of a worker's memory would.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], most: int = MOST_PIECES) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index()
+        self.codes: dict[int, int] = {}
+        self.keys: dict[str, int] = {}
+        self.new: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.done = 0
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _add(self, piece: str) -> int:
+        self.new.append(piece)
+        return self.done + len(self.new) - 1
+
+    def _by_key(self, text: str) -> np.ndarray:
+        out = []
+        for key in split(text):
+            n = self.keys.get(key)
+            if n is None:
+                n = self.keys[key] = self._add(piece(key))
+            out.append(n)
+        return np.array(out, np.int32)
+
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all texts, and where each text's begin. Call learn() before ids()."""
-        get = self.index.__getitem__
-        per = [np.fromiter(map(get, keys), np.int32, len(keys)) for keys in map(split, texts)]
+        plain = [not (b"  " in t or t[:1] == b" " or t[-1:] == b" ") for t in texts]
+        w = words([t if p else b"" for t, p in zip(texts, plain, strict=True)], b" ")
+        code = w.code.copy()
+        first = w.first[:-1][np.diff(w.first) > 0]
+        code[first] ^= _FIRST
+        known, at, of = np.unique(code, return_index=True, return_inverse=True)
+        numbers = list(map(self.codes.get, known.tolist()))
+        led = np.zeros(len(code), bool)
+        led[first] = True
+        for i in [i for i, n in enumerate(numbers) if n is None]:
+            j = int(at[i])
+            numbers[i] = self.codes[int(known[i])] = self._add(("" if led[j] else " ") + w.text(j).decode())
+        fast = np.array(numbers, np.int32)[of] if numbers else np.zeros(0, np.int32)
+        if all(plain):
+            return fast, w.first
+        per = [fast[w.first[i] : w.first[i + 1]] if p else self._by_key(t.decode()) for i, (t, p) in enumerate(zip(texts, plain, strict=True))]
         return np.concatenate([np.zeros(0, np.int32), *per]), np.cumsum([0, *map(len, per)])
 
     def learn(self) -> None:
-        if not self.index.new:
+        if not self.new:
             return
-        found = self.encode([piece(k) for k in self.index.new])
-        self.index.new = []
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        to, need = self.done + len(found), self.used + int(lens.sum())
+        found, lens = self.encode(self.new)
+        self.new = []
+        to, need = self.done + len(lens), self.used + len(found)
         if to > len(self.start):
             self.start, self.size = (np.resize(x, 2 * to) for x in (self.start, self.size))
         if need > len(self.flat):
             self.flat = np.resize(self.flat, 2 * need)
         self.size[self.done : to] = lens
         self.start[self.done : to] = self.used + np.cumsum(lens) - lens
-        self.flat[self.used : need] = np.concatenate([np.zeros(0, np.int32), *found])
+        self.flat[self.used : need] = found
         self.done, self.used = to, need
 
     def ids(self, numbers: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin."""
-        lens = self.size[numbers]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        at = np.repeat(self.start[numbers] - ends[:-1], lens) + np.arange(ends[-1])
-        return self.flat[at], ends[begins]
+        ids, ends = gather(self.flat, self.start, self.size, numbers)
+        return ids, ends[begins]
 
     def full(self) -> bool:
-        return len(self.index) > self.most
+        return self.done > self.most
