@@ -113,6 +113,24 @@ def test_repeats(docs, shards):
         assert r["n_removed"] or r["kept_text"] == TEXTS[r["doc_id"]]
 
 
+def test_repeats_in_chunks_of_any_size(spark):
+    from tidemark.llm.repeats import anchors, drop_repeats
+    from tidemark.llm.words import words
+
+    for n in range(130):
+        code, fits, anchor = anchors(words([b" ".join(b"w%d" % i for i in range(n))]))
+        assert (len(code), len(anchor), int(fits.sum())) == (n, n, max(0, n - 49))
+    texts = {n: " ".join(f"w{i}" for i in range(n)) for n in range(61)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(61, "doc_id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in drop_repeats(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == removed(texts)
+
+
 def test_repeats_when_the_bitmap_is_full(docs, monkeypatch):
     from tidemark.llm import repeats
 

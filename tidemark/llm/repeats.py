@@ -46,6 +46,8 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word: the hash of the window from it on, whether the window fits, and its anchor."""
     code, fits = w.windows(WINDOW)
     low = w.windows(PHRASE)[0]
+    if len(low) < WINDOW:  # no window fits, and the slices below would turn over
+        return code, fits, low.view(np.int64)
     span, width = WINDOW - PHRASE + 1, 1
     while 2 * width <= span:
         low[: len(low) - width] = np.minimum(low[: len(low) - width], low[width:])
