@@ -310,6 +310,28 @@ def test_urls(spark):
     assert (got[900]["verdict"], got[901]["verdict"]) == ("allow", "block")
 
 
+@pytest.mark.parametrize("chunk_bytes", [1 << 16, 40])
+def test_url_differences_are_those_of_the_full_counts(spark, chunk_bytes):
+    from tidemark.llm.urls import MarkovModel, contexts, differences, train
+
+    rng = random.Random(3)
+    # over 150,000 contexts a verdict, nearly all of them rare
+    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    labelled = [(i, v, "".join(rng.choices(letters, k=40))) for v in ("allow", "block") for i in range(1000)]
+    tables = {"allow": {}, "block": {}}
+    for _, v, t in labelled:
+        for c, x in contexts(t):
+            tables[v].setdefault(c, collections.Counter())[x] += 1
+    assert min(map(len, tables.values())) > 150_000
+    models = {v: MarkovModel({c: (by.total(), by) for c, by in t.items()}, 1 + len(t[""])) for v, t in tables.items()}
+    asked = [(i, t) for i, (_, _, t) in enumerate(labelled[::97])] + [(900, ""), (901, "neu"), (901, "neu")]
+    out = differences(spark.createDataFrame(asked, "page_id long, text string"), *train(spark.createDataFrame(labelled, "page_id long, verdict string, text string")), chunk_bytes=chunk_bytes)
+    got = sorted(tuple(r) for r in out.collect())
+    want = sorted((i, t, models["allow"].mean_log(t) - models["block"].mean_log(t) if t else 0.0) for i, t in asked)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], rtol=0, atol=1e-9)
+
+
 def test_markov_chances_sum_to_one():
     from tidemark.llm.urls import MarkovModel, contexts
 

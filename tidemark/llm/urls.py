@@ -7,8 +7,11 @@ so that a context that was never seen falls back to shorter ones. What decides o
 other URLs is the difference of the models' mean log-likelihood per character, against
 the cutoff that parts the held-out URLs best (the mean of the two error rates is least).
 
-MOST_CONTEXTS bounds a model: the most common contexts stay, the others fall back.
-Counts are over all labelled URLs, summed in each task first.
+All contexts count, however rare: the models are a written table with a row for each
+verdict and context, summed in each task first. URLs are scored in chunks of about
+CHUNK_BYTES, dealt by a hash; a chunk asks the table for its own contexts, each once, so
+that neither the driver nor a task holds a model, and a common context is asked for once
+a chunk.
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule and
 a difference of 0; with URLs of one verdict only, or none, the method allows; repeated
@@ -25,8 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import text_bytes, written
+
 ORDER = 5
-MOST_CONTEXTS = 150_000
+CHUNK_BYTES = 1 << 16
 BINS = 2000
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,29 +94,35 @@ class MarkovModel:
         return float(total / (len(s) - 1))
 
 
-def train(labelled: DataFrame, most: int = MOST_CONTEXTS) -> dict[str, MarkovModel]:
-    """A model for each verdict. The driver gets the counts of most contexts of each verdict at most."""
-    counts = model_counts(labelled)
-    out = {}
-    for verdict in ("allow", "block"):
-        own = counts.where(F.col("verdict") == verdict)
-        kept = own.groupBy("context").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("by")).orderBy(F.desc("total"), F.length("context"), "context").limit(most)
-        table = {r["context"]: (r["total"], r["by"]) for r in kept.collect()}
-        if table:
-            out[verdict] = MarkovModel(table, 1 + len(table[""][1]))
-    return out
+def train(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The models as a written table (verdict, context, total, letters, counts), and for each verdict its number of kinds of characters, plus one."""
+    by = model_counts(labelled).groupBy("context", "verdict").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("next", "n"))).alias("by"))
+    table = written(by.select("verdict", "context", "total", F.col("by.next").alias("letters"), F.col("by.n").alias("counts")))
+    return table, {r["verdict"]: 1 + r["n"] for r in table.where("context = ''").select("verdict", F.size("letters").alias("n")).collect()}
 
 
-def differences(df: DataFrame, models: dict[str, MarkovModel]) -> DataFrame:
-    """df with diff: how much likelier the text is per character among allowed URLs."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+def _asked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The distinct contexts of a chunk of texts."""
+    asked = {c for t in set(pdf["text"]) for c, _ in contexts(t)}
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "context": list(asked)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        allow, block = shared.value["allow"], shared.value["block"]
-        for batch in batches:
-            yield batch.assign(diff=[allow.mean_log(t) - block.mean_log(t) if t else 0.0 for t in batch["text"]])
 
-    return df.mapInPandas(run, df.withColumn("diff", F.lit(0.0)).schema)
+def differences(df: DataFrame, models: DataFrame, letters: dict[str, int], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """df with diff: how much likelier the text is per character among allowed URLs. models and letters as train() gives them."""
+    chunks = max(1, -(-text_bytes(df) // chunk_bytes))
+    rows = written(df.withColumn("chunk", F.pmod(F.xxhash64(*df.columns), F.lit(chunks))))
+    known = rows.select("chunk", "text").groupBy("chunk").applyInPandas(_asked, "chunk long, context string").join(models, "context")
+    schema = df.withColumn("diff", F.lit(0.0)).schema
+
+    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        tables: dict[str, dict] = {v: {} for v in letters}
+        for verdict, context, total, xs, ns in zip(*(known[c] for c in ("verdict", "context", "total", "letters", "counts")), strict=True):
+            tables[verdict][context] = (total, dict(zip(xs, ns, strict=True)))
+        allow, block = (MarkovModel(tables[v], letters[v]) for v in ("allow", "block"))
+        diff = [allow.mean_log(t) - block.mean_log(t) if t else 0.0 for t in texts["text"]]
+        return texts.drop(columns="chunk").assign(diff=np.array(diff, float))
+
+    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
 
 
 def best_cutoff(held: DataFrame) -> float:
@@ -132,11 +143,11 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, key: str
     rows = df.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("by", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"), F.concat("host", "path").alias("text"))
     labelled = rows.where("verdict is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
-    models = train(labelled.where("not held"))
-    if len(models) < 2:
+    models, letters = train(labelled.where("not held"))
+    if len(letters) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    cutoff = best_cutoff(differences(labelled.where("held").select("verdict", "text"), models))
-    scored = differences(rows.where("verdict is null").drop("verdict"), models)
+    cutoff = best_cutoff(differences(labelled.where("held").select("page_id", "verdict", "text"), models, letters))
+    scored = differences(rows.where("verdict is null").drop("verdict"), models, letters)
     own = F.when(F.col("diff") >= cutoff, "allow").otherwise("block").alias("verdict")
     return rows.where("verdict is not null").select("page_id", "host", "path", "rule", "verdict").unionByName(scored.select("page_id", "host", "path", "rule", own))
 
