@@ -365,6 +365,28 @@ def test_html(page, text):
     assert content(page or "") == text
 
 
+_LONG = "A sentence, with marks, goes on. " * 12
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article>" + f"<p>{_LONG}</p>" * 5 + "<ul>" + "".join(f"<li>item number {i}</li>" for i in range(4)) + "</ul><table><tr><td>a</td><td>b</td></tr></table></article>", " ".join([_LONG.strip()] * 5 + [f"item number {i}" for i in range(4)] + ["a", "b"])),
+        ("<body>" + f"<p>{_LONG}</p>" * 5 + "<ul><li>one</li><li>two</li><li>three</li></ul><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li><li><a href=z>Contact</a></li></ul></body>", " ".join([_LONG.strip()] * 5 + ["one two three"])),
+        ("<p>One.</p>a < b and the rest", "One. a < b and the rest"),
+        ("<p>One.</p>the rest <a href='x", "One. the rest"),
+        ("<title>Name<p>The text, as such.</p>", "The text, as such."),
+        ("<div><button>Open<p>The text, as such.</p><button>x</button><p>More of it.</p></div>", "The text, as such. More of it."),
+        ("<p>Before.</p><svg><path d='m'/><p>After.</p>", "Before. After."),
+        ("<p>Before.</p><textarea>x<p>After.</p><select><option>y<p>End.</p>", "Before. After. End."),
+    ],
+)
+def test_html_keeps_all_of_the_article(page, text):
+    from tidemark.llm.html import content
+
+    assert content(page) == text
+
+
 def test_empty_tables(spark):
     from tidemark.llm.bpe import encode_and_decode
     from tidemark.llm.decontaminate import decontaminate

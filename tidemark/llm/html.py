@@ -4,7 +4,9 @@ A page is read as text nodes with their root-to-leaf tag path, tags with classes
 ids. Per path, text length and punctuation are summed over its nodes and divided by
 their number; along the page, both ratios are smoothed over neighbouring nodes, fused by
 multiplication, and a node stays if the fused value reaches LEAST of its spread, or
-ENOUGH characters; a heading stays with what it stands above. Paths that pass through an element whose kind or name says boilerplate (a menu, header, footer,
+ENOUGH characters. What lies in the element that holds a node that stays, stays with it,
+however short; in the page's body itself, that is so for all but nodes that are nothing
+but links. A heading stays with what it stands above. Paths that pass through an element whose kind or name says boilerplate (a menu, header, footer,
 sidebar, notice, advert, form or reader comments) weigh nothing.
 
 Defined results: null and empty pages, and pages without content nodes, give an empty
@@ -40,6 +42,10 @@ _DROPPED = frozenset("head nav header footer aside form menu dialog label fields
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: an opening tag ends an open sibling of these kinds
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul)(?=[\s/>])", re.I)
+#: raw elements that cannot hold one of their own kind: a second one before the end tag says that the first is unclosed
+_FLAT = frozenset("textarea title select option button".split())
+_BROKEN = re.compile(r"<[a-zA-Z/!?][^<>]*(?:>|\Z)")
 _HEADING = re.compile(r">h[1-6](?:\.[^>]*)?$")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 
@@ -51,24 +57,32 @@ class Node:
     path: str
     text: str
     weight: float
+    inside: tuple[int, ...]  # the block elements it lies in, but for html and body; 0 is the page
+    linked: bool  # nothing but links
 
 
 def nodes(page: str) -> list[Node]:
     out: list[Node] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, whether it or what holds it is boilerplate
+    stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, whether it or what holds it is boilerplate, its number
     held: list[str] = []
-    at = 0
+    at = number = plain = 0
 
     def put(raw: str) -> None:
+        nonlocal plain
         if raw:
             held.append(entities.unescape(raw))
+            if raw.strip() and not any(x[0] == "a" for x in stack):
+                plain += 1
 
     def end_block() -> None:
-        text = " ".join("".join(held).split())
+        nonlocal plain
+        text, linked = " ".join("".join(held).split()), not plain
         held.clear()
+        plain = 0
         if text:
             blocks = [x for x in stack if x[0] not in _INLINE]
-            out.append(Node(">".join(x[1] for x in blocks), text, 0.0 if blocks and blocks[-1][2] else 1.0))
+            inside = (0, *(x[3] for x in blocks if x[0] not in ("html", "body")))
+            out.append(Node(">".join(x[1] for x in blocks), text, 0.0 if blocks and blocks[-1][2] else 1.0, inside, linked))
 
     while m := _TAG.search(page, at):
         put(page[at : m.start()])
@@ -87,7 +101,13 @@ def nodes(page: str) -> list[Node]:
             if tag not in ("button", "option"):
                 end_block()
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            if close and tag in _FLAT and re.compile(rf"<{tag}(?=[\s/>])", re.I).search(page, at, close.start()):
+                close = None
+            if close:
+                at = close.end()
+            else:
+                block = _BLOCK.search(page, at)
+                at = block.start() if block else len(page)
             continue
         if tag in _VOID:
             if tag == "wbr":
@@ -101,7 +121,7 @@ def nodes(page: str) -> list[Node]:
             boiler = _bad(tag, m[3])
             if boiler:
                 end_block()
-            stack.append((tag, tag, boiler or bool(stack and stack[-1][2])))
+            stack.append((tag, tag, boiler or bool(stack and stack[-1][2]), 0))
             continue
         end_block()
         while stack and stack[-1][0] in _INLINE:
@@ -118,8 +138,9 @@ def nodes(page: str) -> list[Node]:
                     del stack[i:]
                     break
         name = _NAME.findall(m[3])
-        stack.append((tag, tag + "".join("." + "".join(n) for n in name), _bad(tag, m[3]) or bool(stack and stack[-1][2])))
-    put(page[at:] if "<" not in page[at:] else page[at : page.index("<", at)])
+        number += 1
+        stack.append((tag, tag + "".join("." + "".join(n) for n in name), _bad(tag, m[3]) or bool(stack and stack[-1][2]), number))
+    put(_BROKEN.sub(" ", page[at:]))
     end_block()
     return out
 
@@ -154,6 +175,9 @@ def content(page: str) -> str:
     length, marks = path_ratios(own)
     fused = _smooth(length) * (1 + _smooth(marks))
     keep = fused >= min(LEAST * float(fused.std()), float(fused.max()), ENOUGH)
+    holders = {n.inside[-2] if len(n.inside) > 1 else 0 for n, k in zip(own, keep.tolist(), strict=True) if k and not n.linked}
+    for i, n in enumerate(own):
+        keep[i] |= any(x in holders for x in n.inside[1:]) or (0 in holders and not n.linked)
     for i in range(len(own) - 2, -1, -1):
         if _HEADING.search(own[i].path):
             keep[i] |= keep[i + 1]
