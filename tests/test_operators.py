@@ -62,6 +62,18 @@ def test_weeks(spark):
     assert [tuple(r) for r in got] == [(D(2026, 12, 28), D(2027, 1, 3)), (None, None), (D(2025, 12, 29), D(2026, 1, 4))]
 
 
+def test_aliases_of_any_length(spark):
+    from tidemark.operators.lineage import alias_closure
+
+    n = 300
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(n)]
+    cycles = [("x", "y"), ("y", "z"), ("z", "x"), ("into", "x"), ("p", "q"), ("q", "p"), ("lost", "unknown")]
+    got = alias_closure(spark.createDataFrame(chain + cycles, "legacy_id string, current_id string"), spark.createDataFrame([(f"c{n}",), ("x",), ("p",)], "id string"))
+    assert dict(tuple(r) for r in got.collect()) == {a: f"c{n}" for a, _ in chain} | {a: None for a, _ in cycles}
+    none = spark.createDataFrame([], "legacy_id string, current_id string")
+    assert alias_closure(none, spark.createDataFrame([], "id string")).count() == 0
+
+
 def test_aliases(spark):
     from tidemark.operators.lineage import alias_closure
 

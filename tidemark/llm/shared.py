@@ -1,36 +1,17 @@
-"""Shared folder, written tables and column clean-up used by the operators."""
+"""Column clean-up and batch sizes used by the operators; the shared folder and written tables are those of all operators."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir, written  # noqa: F401
 
 ROWS_PER_BATCH = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").partitionBy(*keys).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string); all other columns go. A table without rows or with null texts is fine."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

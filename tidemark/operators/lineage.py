@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_HOPS = 64
+from tidemark.sources.shared import written
 
 
 def alias_closure(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Each old id with the id that its chain of aliases ends in; null if the chain is a cycle or ends in an unknown id.
 
     edges: (legacy_id, current_id), one for each legacy_id; known: (id). Hops double each round, so that a
-    chain of n aliases takes log2(n) joins.
+    chain of n aliases takes log2(n) joins. Rounds end when no row moves on, or after as many hops as there
+    are edges, which no chain without a cycle outlasts.
     """
-    steps = edges.where("legacy_id != current_id").select(F.col("legacy_id").alias("id"), F.col("current_id").alias("to"))
-    hops = 1
-    while hops < MOST_HOPS:
+    steps = written(edges.where("legacy_id != current_id").select(F.col("legacy_id").alias("id"), F.col("current_id").alias("to")))
+    hops, most = 1, steps.count()
+    while hops < most:
         on = steps.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        steps = steps.join(on, "to", "left").select("id", F.coalesce("further", "to").alias("to"))
+        moved = F.coalesce(F.col("further") != F.col("to"), F.lit(False)).alias("moved")
+        steps = written(steps.join(on, "to", "left").select("id", F.coalesce("further", "to").alias("to"), moved))
         hops *= 2
-    # what can still go on after so many hops is in a cycle
+        if steps.where("moved").isEmpty():
+            break
+        steps = steps.drop("moved")
+    # what can still go on is in a cycle
     cyclic = edges.select(F.col("legacy_id").alias("to"), F.lit(True).alias("cyclic"))
     good = known.select(F.col("id").alias("to"), F.lit(True).alias("good"))
     ends = steps.join(cyclic, "to", "left").join(good, "to", "left")
