@@ -180,15 +180,37 @@ def test_id_files(spark, docs, monkeypatch):
 
     monkeypatch.setattr(idfiles, "FILE_TEXT_BYTES", 20_000)
     lib, folder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), shared_dir(spark)
-    files = {r["number"]: (r["documents"], r["ids"]) for r in idfiles.write_id_files(docs, folder).collect()}
+    written = idfiles.write_id_files(docs, folder)
+    files = {r["number"]: (r["documents"], r["ids"]) for r in written.collect()}
     assert len(files) > 2
-    rows = sorted(idfiles.read_id_files(spark, folder).collect(), key=lambda r: (r["number"], r["place"]))
+    rows = sorted(idfiles.read_id_files(folder, written).collect(), key=lambda r: (r["number"], r["place"]))
     assert [r["doc_id"] for r in rows] == sorted(TEXTS)
     for r in rows:
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(TEXTS[r["doc_id"]], add_special_tokens=False).ids + [2]
     assert sum(n for _, n in files.values()) == sum(r["n_tokens"] for r in rows)
 
 
+def test_id_files_query_with_repeats_nulls_and_a_lost_attempt(spark, docs, tmp_path, monkeypatch):
+    from tidemark.llm import idfiles
+
+    monkeypatch.setattr(idfiles, "FILE_TEXT_BYTES", 20_000)
+    rows = [(None, "no id"), (None, None), *((7, f"repeated id {i % 3} " * 40) for i in range(90)), *TEXTS.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    lib, at, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    ids = {t: np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t in rows}
+    for k, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, ids[r[1]])):
+        want.append((k, at, len(ids[t]) // 4, zlib.crc32(ids[t])))
+        at += len(ids[t]) // 4
+    own = idfiles.shared_dir
+    folder = own(spark)
+    monkeypatch.setattr(idfiles, "shared_dir", lambda spark: folder)
+    first = idfiles.op4_ranked_id_files(spark, str(tmp_path))
+    where, place = idfiles._place(folder)
+    with where.open_output_stream(f"{place}/ids/000000000000000-lost.ids") as f:  # what an attempt without a row leaves
+        f.write(b"TMRK half a file")
+    assert sorted(map(tuple, first.collect()), key=lambda r: r[1]) == want
+
+
 def test_packing_round_trip():
     from tidemark.llm.idfiles import pack, unpack
 

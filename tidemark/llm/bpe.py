@@ -51,7 +51,7 @@ class PairIndexBpe:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.encode = Pretokens(regex.compile(public_tokenizers.PATTERN), self.special, self.merge)
+        self.pretokens = Pretokens(regex.compile(public_tokenizers.PATTERN), self.special, self.merge)
         self.bytes_of: list[bytes] = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(letters[c] for c in token)
@@ -137,7 +137,7 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def _kept(path: str) -> tuple[PairIndexBpe, Pieces]:
     bpe = PairIndexBpe(path)
-    return bpe, Pieces(bpe.encode, MOST_PIECES)
+    return bpe, Pieces(bpe.pretokens.row, bpe.pretokens.alone, MOST_PIECES)
 
 
 def encode_and_decode(df: DataFrame, path: str | None = None, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:

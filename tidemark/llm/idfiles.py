@@ -7,15 +7,18 @@ bytes. A file, all numbers little-endian:
 
     magic "TMRK" | version u32 | number u64 | documents u64
     doc_id i64, ids u64, control bytes u64, data bytes u64: one array each
+    whether the doc_id is known u8: one array
     control bytes of all documents | data bytes of all documents
 
-Files are numbered in ascending order of doc_id, as their rows are inside. The
-rank table is one Parquet file beside them. A file is written under a name of its
-task attempt and then renamed, so that a task run twice leaves one whole file.
+Documents are parted by ranges of doc_id, so files are numbered in its ascending order,
+as their rows are inside. The rank table is one Parquet file beside them. Each task
+attempt writes files of its own name; write_id_files() gives a row for each file of the
+attempts that Spark took, and readers read those alone, so that a task run twice, or
+lost half way, neither doubles nor breaks a file.
 
-Defined results: null and empty texts hold the end id alone; rows with one doc_id
-stay rows of their own, in an order fixed by their code; a null doc_id is kept as -1; an
-empty table gives none.
+Defined results: null and empty texts hold the end id alone; rows with one doc_id stay
+rows of their own, in the order of their ids; a null doc_id stays null and comes last; an
+empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.pieces import Pieces, Pretokens
+from tidemark.llm.pieces import Pieces, per_piece
 from tidemark.llm.shared import shared_dir, text_bytes, texts, written
 from tidemark.llm.words import chunks
 
@@ -79,39 +83,52 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return word & _MASK[_FIELD[c].ravel()[:n]]
 
 
-def file_bytes(number: int, keys: list[int], counts: list[int], controls: list[bytes], datas: list[bytes]) -> bytes:
-    head = _MAGIC + np.array([1], "<u4").tobytes() + np.array([number, len(keys)], "<u8").tobytes()
-    arrays = [np.array(keys, "<i8"), *(np.array(x, "<u8") for x in (counts, list(map(len, controls)), list(map(len, datas))))]
+def file_bytes(number: int, keys: list[int | None], counts: list[int], controls: list[bytes], datas: list[bytes]) -> bytes:
+    head = _MAGIC + np.array([2], "<u4").tobytes() + np.array([number, len(keys)], "<u8").tobytes()
+    ids = np.array([0 if k is None else k for k in keys], "<i8")
+    arrays = [ids, *(np.array(x, "<u8") for x in (counts, list(map(len, controls)), list(map(len, datas)))), np.array([k is not None for k in keys], np.uint8)]
     return b"".join([head, *(a.tobytes() for a in arrays), *controls, *datas])
 
 
-def file_rows(raw: bytes) -> tuple[int, list[tuple[int, np.ndarray]]]:
+def file_rows(raw: bytes) -> tuple[int, list[tuple[int | None, np.ndarray]]]:
     """A file's number, and (doc_id, ranks) in its order."""
     if raw[:4] != _MAGIC:
         raise ValueError("not a token-id file")
     number, docs = np.frombuffer(raw, "<u8", 2, 8).tolist()
     keys, at = np.frombuffer(raw, "<i8", docs, 24), 24 + 8 * docs
     counts, c, d = np.frombuffer(raw, "<u8", 3 * docs, at).astype(np.int64).reshape(3, -1)
-    begin = at + 24 * docs
+    known, begin = np.frombuffer(raw, np.uint8, docs, at + 24 * docs), at + 25 * docs
     ctl = begin + np.cumsum(c) - c
     dat = begin + int(c.sum()) + np.cumsum(d) - d
-    return number, [(int(k), unpack(raw[x : x + u], raw[y : y + v], int(n))) for k, n, x, u, y, v in zip(keys, counts, ctl, c, dat, d, strict=True)]
+    return number, [(int(k) if e else None, unpack(raw[x : x + u], raw[y : y + v], int(n))) for k, e, n, x, u, y, v in zip(keys, known, counts, ctl, c, dat, d, strict=True)]
 
 
 @lru_cache(maxsize=2)
 def _kept(path: str) -> tuple[Pieces, int]:
-    import regex
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    special = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}
-    letter = {b: c for c, b in byte_letters().items()}
+    lib.no_truncation()
+    lib.no_padding()
+    letters = byte_letters()
+    special = {i for i in lib.get_added_tokens_decoder()}
+    size = max(END_ID + 1, 1 + max(lib.get_vocab(with_added_tokens=True).values()))
+    octets = np.zeros(size, np.int64)  # of each id
+    for token, i in lib.get_vocab(with_added_tokens=True).items():
+        octets[i] = len(token.encode()) if i in special or not all(c in letters for c in token) else len(token)
 
-    def tokens(pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[t.id for t in lib.model.tokenize(p.encode().decode("latin-1").translate(letter))] for p in pretokens]
-        return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Pieces(Pretokens(regex.compile(public_tokenizers.PATTERN), special, tokens)), max(END_ID + 1, lib.get_vocab_size(with_added_tokens=True))
+    def row(raw: bytes, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = ids([raw.decode()])[0]
+        return found, per_piece(pieces, octets[found])
+
+    def alone(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = ids(pieces)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    return Pieces(row, alone), size
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -163,7 +180,7 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_id_files(df: DataFrame, folder: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write df's ids under folder (a URI that all executors reach) and give (number, documents, ids) per file."""
+    """Write df's ids under folder (a URI that all executors reach): a written table of (number, documents, ids, file), a row for each file."""
     spark, path = df.sparkSession, path or public_tokenizers.path(VOCABULARY)
     docs = texts(df, key, text)
     ids = written(encoded(docs, path))
@@ -172,53 +189,48 @@ def write_id_files(df: DataFrame, folder: str, path: str | None = None, key: str
     rank_of = np.zeros(1 + max(by_rank, default=0), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     ranks = spark.sparkContext.broadcast(rank_of)
-    files = max(1, -(-text_bytes(docs) // FILE_TEXT_BYTES))
-    # cut by doc_id at quantiles of all rows; one hot doc_id may make a file larger than the rest
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / files) for i in range(1, files)]), F.lit(100_000))).first()[0] or [])) if files > 1 else []
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, edges = ranks.value, np.array(cuts, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own, begins = _ids(part)
-                control, data = pack(table[own], begins)
-                keys = np.array([-1 if k is None else k for k in part.column(0).to_pylist()], np.int64)
-                yield pa.record_batch(
-                    [pa.array(np.searchsorted(edges, keys), pa.int64()), pa.array(keys), pa.array(np.diff(begins)), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                    ["number", "doc_id", "n", "control", "data"],
-                )
+    most = FILE_TEXT_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: int | None = None
+        table, number, size = ranks.value, TaskContext.get().partitionId() << 24, 0
         keys, counts, controls, datas = [], [], [], []
 
-        def put() -> Iterator[pa.RecordBatch]:
-            if number is None:
-                return
+        def put() -> pa.RecordBatch:
             where, at = _place(folder)
-            temp, final = posixpath.join(at, f"_{uuid.uuid4().hex}"), posixpath.join(at, "ids", f"{number:09d}.ids")
+            name = f"{number:015d}-{uuid.uuid4().hex}.ids"
             where.create_dir(posixpath.join(at, "ids"), recursive=True)
-            with where.open_output_stream(temp) as f:
+            with where.open_output_stream(posixpath.join(at, "ids", name)) as f:
                 f.write(file_bytes(number, keys, counts, controls, datas))
-            where.move(temp, final)
-            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([sum(counts)], pa.int64())], ["number", "documents", "ids"])
+            row = [[number], [len(keys)], [sum(counts)], [name]]
+            for x in (keys, counts, controls, datas):
+                x.clear()
+            return pa.record_batch([pa.array(x) for x in row], ["number", "documents", "ids", "file"])
 
         for batch in batches:
-            for no, k, n, c, d in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if no != number:
-                    yield from put()
-                    number, keys, counts, controls, datas = no, [], [], [], []
-                keys.append(k), counts.append(n), controls.append(c), datas.append(d)
-        yield from put()
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own, begins = _ids(part)
+                control, data = pack(table[own], begins)
+                keys += part.column(0).to_pylist()
+                counts += np.diff(begins).tolist()
+                controls += control
+                datas += data
+                size += sum(map(len, data))
+                if size > most:  # a range of very many rows of one doc_id
+                    yield put()
+                    number, size = number + 1, 0
+        if keys:
+            yield put()
 
-    coded = ids.mapInArrow(code, "number long, doc_id long, n long, control binary, data binary")
-    placed = coded.repartition(max(files, spark.sparkContext.defaultParallelism), "number").sortWithinPartitions("number", "doc_id", "n", "control", "data")
-    return placed.mapInArrow(write, "number long, documents long, ids long")
+    files = max(1, -(-text_bytes(docs) // FILE_TEXT_BYTES))
+    order = F.col("doc_id").asc_nulls_last()
+    placed = ids.repartitionByRange(files, order).sortWithinPartitions(order, "ids")
+    return written(placed.mapInArrow(write, "number long, documents long, ids long, file string"))
 
 
-def read_id_files(spark, folder: str) -> DataFrame:
-    """number, place (in the file), doc_id, within (ids before it in the file), n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_id_files(folder: str, files: DataFrame) -> DataFrame:
+    """number, place (in the file), doc_id, within (ids before it in the file), n_tokens, ids (little-endian unsigned 32-bit). files: as write_id_files() gives them."""
+    spark = files.sparkSession
     ranked = spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()  # one row for each id of the vocabulary at most
     by_rank = spark.sparkContext.broadcast(np.array([r["id"] for r in ranked], "<u4"))
 
@@ -238,17 +250,16 @@ def read_id_files(spark, folder: str) -> DataFrame:
                         ["number", "place", "doc_id", "within", "n_tokens", "ids"],
                     )
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(f"{folder}/ids").select("content")
-    return raw.mapInArrow(read, "number long, place long, doc_id long, within long, n_tokens long, ids binary")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(f"{folder}/ids").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return raw.join(files.select("file"), "file", "left_semi").select("content").mapInArrow(read, "number long, place long, doc_id long, within long, n_tokens long, ids binary")
 
 
 def op4_ranked_id_files(spark, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    files = written(write_id_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder))  # a row for each file
+    files = write_id_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row for each file
     before = files.select("number", F.coalesce(F.sum("ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = read_id_files(spark, folder).select("number", "doc_id", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = read_id_files(folder, files).select("number", "doc_id", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return rows.join(before, "number").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
-
-

@@ -2,6 +2,8 @@
 
 A piece starts at a space that stands between two non-spaces. Such a space always
 starts a pre-token, so encoding piece by piece gives what encoding the text gives.
+Pieces are cut and looked up for many texts at once; only those not yet known are
+encoded, a long row of them in one call.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tidemark.llm.words import words
+from tidemark.llm.words import codes_between
 
-_FIRST = np.uint64(0xA24BAED4963EE407)
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 #: pieces that a worker remembers at most
 MOST_PIECES = 700_000
+#: second bytes that may begin white space: a piece with one is encoded alone, as its space may belong to what goes before
+_RISKY = np.zeros(256, bool)
+_RISKY[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+Encoded = tuple[np.ndarray, np.ndarray]
 
 
 class _Index(dict):
@@ -31,18 +36,18 @@ class _Index(dict):
         return i
 
 
-def split(text: str) -> list[str]:
-    """Keys of the text's pieces."""
-    if not text:
-        return []
-    # with no run of two spaces, what goes before a space cannot reach past it
-    out = _SINGLE.split(text) if "  " in text else text.split(" ")
-    out[0] = " " + out[0]
-    return out
-
-
-def piece(key: str) -> str:
-    return key[1:] if key[:1] == " " else " " + key
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes in a row, where pieces begin (and the last ends), and the first piece of each text (and the end)."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    space = data == 0x20
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins[:-1] &= ~space[1:]
+    begins[at[1:][at[1:] > 0] - 1] = False  # a space that ends a text
+    begins[at[:-1][np.diff(at) > 0]] = True
+    start = np.append(np.flatnonzero(begins), len(data))
+    return data, start, np.searchsorted(start[:-1], at)
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,106 +57,118 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndar
     return flat[np.repeat(start[which] - ends[:-1], lens) + np.arange(ends[-1])], ends
 
 
+def per_piece(piece_size: np.ndarray, token_size: np.ndarray) -> np.ndarray:
+    """How many of the tokens in a row each piece has, by their sizes. No token may cross a border of pieces."""
+    ends = np.concatenate([[0], np.cumsum(token_size)])
+    border = np.concatenate([[0], np.cumsum(piece_size)])
+    at = np.searchsorted(ends, border)
+    if (ends[np.minimum(at, len(ends) - 1)] != border).any():
+        raise ValueError("a token crosses a border of pieces")
+    return np.diff(at)
+
+
 class Pretokens:
     """Ids of pieces, by their distinct pre-tokens. tokens: ids of a list of pre-tokens in a row, and how many each has."""
 
-    def __init__(self, pattern, special: dict[str, int], tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, pattern, special: dict[str, int], tokens: Callable[[list[str]], Encoded]) -> None:
         self.findall, self.special, self.tokens = pattern.findall, special, tokens
         self.parts = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def _split(self, text: str) -> list[str]:
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return [text]
         if not self.parts or not self.parts.search(text):
             return self.findall(text)
         return [t for part in self.parts.split(text) for t in ([part] if part in self.special else self.findall(part))]
 
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def row(self, raw: bytes, size: np.ndarray) -> Encoded:
+        own = self._split(raw.decode())
+        return self._ids(own, per_piece(size, np.fromiter((len(t.encode()) for t in own), np.int64, len(own))))
+
+    def alone(self, pieces: list[str]) -> Encoded:
+        own = [self._split(p) for p in pieces]
+        return self._ids([t for p in own for t in p], np.fromiter(map(len, own), np.int64, len(own)))
+
+    def _ids(self, pretokens: list[str], counts: np.ndarray) -> Encoded:
         index = _Index()
-        numbers, counts = [], np.zeros(len(pieces), np.int64)
-        for i, text in enumerate(pieces):
-            own = self._split(text)
-            counts[i] = len(own)
-            numbers += map(index.__getitem__, own)
+        numbers = np.fromiter(map(index.__getitem__, pretokens), np.int64, len(pretokens))
         plain = [t for t in index.new if t not in self.special]
         flat, size = self.tokens(plain)
         flat, size = np.append(flat, [*self.special.values()]).astype(np.int32), np.append(size, np.ones(len(self.special), np.int64)).astype(np.int64)
-        place = {t: len(plain) + k for k, t in enumerate(self.special)}
         of = np.zeros(len(index.new), np.int64)
         of[[t not in self.special for t in index.new]] = np.arange(len(plain))
-        for t in place.keys() & index.keys():
-            of[index[t]] = place[t]
-        ids, ends = gather(flat, np.cumsum(size) - size, size, of[np.array(numbers, np.int64)])
+        for k, t in enumerate(self.special):
+            if t in index:
+                of[index[t]] = len(plain) + k
+        ids, ends = gather(flat, np.cumsum(size) - size, size, of[numbers])
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
 class Pieces:
-    """encode: ids of a list of pieces in a row, and how many each has. The most remembered pieces bound a worker's memory.
+    """row: ids of pieces in a row, of given sizes in bytes, and how many each has. alone: the same of a list of pieces.
 
-    A piece is known by a 64-bit code of its bytes, which all pieces of many texts get at once;
-    texts with runs of spaces are split one by one. most bounds the pairs of pieces that codes
-    could confuse as well: about most**2 / 2**65 of a worker's memory would.
+    A piece is known by a 64-bit code of its bytes. most bounds a worker's memory, and with it
+    the pairs of pieces that codes could confuse: about most**2 / 2**65 of a memory would.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, row: Callable[[bytes, np.ndarray], Encoded], alone: Callable[[list[str]], Encoded], most: int = MOST_PIECES) -> None:
+        self.row, self.alone, self.most = row, alone, most
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[int, int] = {}
-        self.keys: dict[str, int] = {}
-        self.new: list[str] = []
+        self.code, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of known pieces, by code
+        self.rows: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        self.singles: list[tuple[str, int]] = []
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.done = 0
 
-    def _add(self, piece: str) -> int:
-        self.new.append(piece)
-        return self.done + len(self.new) - 1
-
-    def _by_key(self, text: str) -> np.ndarray:
-        out = []
-        for key in split(text):
-            n = self.keys.get(key)
-            if n is None:
-                n = self.keys[key] = self._add(piece(key))
-            out.append(n)
-        return np.array(out, np.int32)
-
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all texts, and where each text's begin. Call learn() before ids()."""
-        plain = [not (b"  " in t or t[:1] == b" " or t[-1:] == b" ") for t in texts]
-        w = words([t if p else b"" for t, p in zip(texts, plain, strict=True)], b" ")
-        code = w.code.copy()
-        first = w.first[:-1][np.diff(w.first) > 0]
-        code[first] ^= _FIRST
-        known, at, of = np.unique(code, return_index=True, return_inverse=True)
-        numbers = list(map(self.codes.get, known.tolist()))
-        led = np.zeros(len(code), bool)
-        led[first] = True
-        for i in [i for i, n in enumerate(numbers) if n is None]:
-            j = int(at[i])
-            numbers[i] = self.codes[int(known[i])] = self._add(("" if led[j] else " ") + w.text(j).decode())
-        fast = np.array(numbers, np.int32)[of] if numbers else np.zeros(0, np.int32)
-        if all(plain):
-            return fast, w.first
-        per = [fast[w.first[i] : w.first[i + 1]] if p else self._by_key(t.decode()) for i, (t, p) in enumerate(zip(texts, plain, strict=True))]
-        return np.concatenate([np.zeros(0, np.int32), *per]), np.cumsum([0, *map(len, per)])
+        data, start, first = cut(texts)
+        if len(start) < 2:
+            return np.zeros(0, np.int32), first
+        code, which, of = np.unique(codes_between(data, start[:-1], start[1:]), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.code, code)
+        known = np.zeros(len(code), bool)
+        some = at < len(self.code)
+        known[some] = self.code[at[some]] == code[some]
+        number = np.zeros(len(code), np.int32)
+        number[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            number[new] = self.done + np.arange(len(new))
+            self._hold(data, start, which[new], number[new])
+            self.code, self.number = np.insert(self.code, at[new], code[new]), np.insert(self.number, at[new], number[new])
+            self.done += len(new)
+        return number[of], first
+
+    def _hold(self, data: np.ndarray, start: np.ndarray, which: np.ndarray, number: np.ndarray) -> None:
+        size = np.diff(start)
+        after = data[np.minimum(start[which] + 1, len(data) - 1)]
+        joins = (data[start[which]] == 0x20) & (size[which] > 1) & ~_RISKY[after]
+        if joins.any():
+            self.rows.append((gather(data, start, size, which[joins])[0].tobytes(), size[which[joins]], number[joins]))
+        for w, n in zip(which[~joins].tolist(), number[~joins].tolist(), strict=True):
+            self.singles.append((data[start[w] : start[w + 1]].tobytes().decode(), n))
 
     def learn(self) -> None:
-        if not self.new:
-            return
-        found, lens = self.encode(self.new)
-        self.new = []
-        to, need = self.done + len(lens), self.used + len(found)
-        if to > len(self.start):
-            self.start, self.size = (np.resize(x, 2 * to) for x in (self.start, self.size))
+        if self.done > len(self.start):
+            self.start, self.size = (np.resize(x, 2 * self.done) for x in (self.start, self.size))
+        if self.rows:
+            raw, size, number = zip(*self.rows, strict=True)
+            self._keep(*self.row(b"".join(raw), np.concatenate(size)), np.concatenate(number))
+        if self.singles:
+            texts, number = zip(*self.singles, strict=True)
+            self._keep(*self.alone(list(texts)), np.array(number))
+        self.rows, self.singles = [], []
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray, number: np.ndarray) -> None:
+        need = self.used + len(ids)
         if need > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * need)
-        self.size[self.done : to] = lens
-        self.start[self.done : to] = self.used + np.cumsum(lens) - lens
-        self.flat[self.used : need] = found
-        self.done, self.used = to, need
+            self.flat = np.resize(self.flat, need + need // 2)
+        self.flat[self.used : need] = ids
+        self.size[number] = counts
+        self.start[number] = self.used + np.cumsum(counts) - counts
+        self.used = need
 
     def ids(self, numbers: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin."""

@@ -81,6 +81,14 @@ class Words:
         return self.buf[self.start[i] : self.end[i]]
 
 
+def codes_between(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A code of the bytes from each start to its end."""
+    n = len(data)
+    up, down = _powers(_P, CHUNK_BYTES * 2) if n < CHUNK_BYTES * 2 else _powers(_P, n + 1)
+    run = _running(_codes()[data] * up[:n])
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def words(raw: list[bytes], between: bytes = WHITE, fold: bool = False) -> Words:
     """between: the bytes that part words. fold: A-Z count as a-z in codes, not in text()."""
     buf = b" ".join(raw) + b" "
