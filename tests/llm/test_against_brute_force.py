@@ -113,6 +113,39 @@ def test_repeats(docs, shards):
         assert r["n_removed"] or r["kept_text"] == TEXTS[r["doc_id"]]
 
 
+def test_repeats_are_what_the_automaton_hits():
+    from tidemark.llm import repeats
+
+    def gone(docs, passages):
+        n = repeats.Normal([t.encode() for t in docs])
+        return repeats.covered_words(n, np.arange(len(docs)) + 10, repeats.Normal([t.encode() for t in passages]), np.arange(len(passages))).tolist()
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    assert gone([f"x\t{a.replace(' ', chr(10))} y", b, "", "z"], [a]) == [False, *[True] * 60, False, *[False] * 61]
+    assert not any(gone([a.replace("a30", "other")], [a])) and not any(gone([a, b], []))
+    whole = repeats.automaton
+
+    def deaf(passages):
+        find, begin, where = whole(passages)
+        return type("Deaf", (), {"iter": lambda self, text: ()})(), begin, where
+
+    repeats.automaton = deaf
+    try:
+        assert not any(gone([a], [a]))
+    finally:
+        repeats.automaton = whole
+
+
+def test_repeats_with_one_phrase_in_all_documents(spark):
+    from tidemark.llm.repeats import drop_repeats
+
+    rng, footer = random.Random(3), " ".join(f"license{i}" for i in range(12))
+    own = [" ".join(f"{rng.randrange(10**6)}" for _ in range(70)) for _ in range(60)]
+    texts = {i: f"{own[i % 40]} {footer} {own[i % 60]}" for i in range(160)}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in drop_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shards=3).collect()}
+    assert got == removed(texts)
+
+
 def test_repeats_in_chunks_of_any_size(spark):
     from tidemark.llm.repeats import anchors, drop_repeats
     from tidemark.llm.words import words

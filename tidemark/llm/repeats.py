@@ -1,4 +1,4 @@
-"""Passages that an earlier document already has, found with sharded Aho-Corasick automata.
+"""Passages that an earlier document already has, located by Aho-Corasick automata.
 
 A word goes if a window of WINDOW words around it also starts in a document with a
 smaller doc_id. The steps:
@@ -6,18 +6,22 @@ smaller doc_id. The steps:
 1.  Each window has an anchor, the smallest hash among its PHRASE-word phrases. Equal
     windows have equal anchors. Anchors seen in two documents set bits of a bitmap,
     whose size follows the text up to MOST_BITS; it only spares work: the fuller it is,
-    the more stretches travel, and the result stays the same.
-2.  Each task keeps, of equal windows it has seen, those of the smallest doc_id; the rest
-    are covered for certain, so that a passage of a third of all documents leaves a task
-    once. What is left goes, as stretches of text, to the shard of its anchor.
-3.  A shard confirms the windows that two documents have, compiles their anchor phrases
-    into an automaton and streams its stretches through it. A window that holds a located
-    phrase, and whose words a smaller doc_id has, is covered.
-4.  Covered spans are joined to the documents.
-
-Shards follow the bytes of text. Defined results: null, empty and blank texts have no
-words; rows with one doc_id never cover each other, and equal such rows fare alike; a
-null doc_id counts as the largest; an empty table gives no rows; other columns pass.
+    the more windows are counted, and the result stays the same.
+2.  Windows with such an anchor are counted by their hash: those of two documents recur,
+    and the smallest of them owns the window. Owned windows are confirmed passages, cut
+    out of their owners' texts in segments of SEGMENT windows.
+3.  Documents are dealt to shards of about SHARD_BYTES by a hash. A shard is sent the
+    segments whose windows its documents have, each once, however many of them.
+4.  A shard compiles the anchor phrases of its segments into an automaton, streams all of
+    its documents through it, and lays each document against a segment at every hit. Where
+    WINDOW words or more agree, byte by byte, and the segment's owner is smaller, the words
+    go. A phrase that is not hit removes nothing.
+
+A passage that a third of all documents share is counted in each task first, owned once,
+and sent to each shard once. Defined results: null, empty and blank texts have no words;
+rows with one doc_id never cover each other, and equal such rows fare alike; a null doc_id
+counts as the largest; an empty table gives no rows; other columns pass, but for columns
+named n_words, n_removed, kept_sha256 or kept_text, which the results replace.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bitmap import bitmap, in_bitmap
-from tidemark.llm.shared import text_bytes
-from tidemark.llm.words import Words, chunks, words
+from tidemark.llm.shared import text_bytes, written
+from tidemark.llm.words import Words, chunks, release, words
 
 WINDOW = 50
 PHRASE = 8
-SHARD_TEXT_BYTES = 12 << 20
+SEGMENT = 128
+SHARD_BYTES = 4 << 20
+TASK_BYTES = 32 << 20
 MOST_BITS = 1 << 29
 _LAST = (1 << 63) - 1
 
@@ -81,189 +87,172 @@ def recurring_bits(docs: DataFrame, total_bytes: int, most_bits: int = MOST_BITS
     return bitmap(found, "anchor", total_bytes // 16, most_bits)
 
 
-class _Seen:
-    """Windows that many documents of a task share, with the smallest doc_id so far."""
+def windows_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(code, doc_id, text_code, at, shard) of every window whose anchor may recur."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def __init__(self) -> None:
-        self.code, self.low = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunks(batches):
+            w = words(raw)
+            code, fits, anchor = anchors(w)
+            pos = np.flatnonzero(fits & in_bitmap(shared.value, anchor))
+            doc = w.doc[pos]
+            own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "text_code", "shard")]
+            yield pa.record_batch([pa.array(x) for x in (code[pos].view(np.int64), own[0], own[1], (pos - w.first[doc]).astype(np.int32), own[2])], ["code", "doc_id", "text_code", "at", "shard"])
 
-    def of(self, code: np.ndarray) -> np.ndarray:
-        if not len(self.code):
-            return np.full(len(code), _LAST)
-        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return np.where(self.code[at] == code, self.low[at], _LAST)
+    return docs.mapInArrow(run, "code long, doc_id long, text_code long, at int, shard int")
 
-    def add(self, code: np.ndarray, low: np.ndarray) -> None:
-        code, low = np.concatenate([self.code, code]), np.concatenate([self.low, low])
-        order = np.lexsort((low, code))
-        code, low = code[order], low[order]
-        first = np.ones(len(code), bool)
-        first[1:] = code[1:] != code[:-1]
-        self.code, self.low = code[first], low[first]
-        if len(self.code) > 2_000_000:  # forgetting only sends more to the shards
-            self.code, self.low = self.code[::2].copy(), self.low[::2].copy()
 
+def segments(docs: DataFrame, owned: DataFrame) -> DataFrame:
+    """(doc_id, text_code, segment, passage): the text of each segment that has owned windows, words joined by a space."""
+    spans = owned.groupBy("doc_id", "text_code", "segment").agg(F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
+    per_doc = written(spans.groupBy("doc_id", "text_code").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("spans")))  # as many as a text has segments
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(per_doc, "doc_id", 32 * per_doc.count(), MOST_BITS))
 
-def _runs(doc: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> np.ndarray:
-    """Where runs of consecutive windows begin."""
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-    for s in same:
-        new[1:] |= s[1:] != s[:-1]
-    return np.flatnonzero(new)
+    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, np.asarray(batch.column("doc_id")))))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunks(batches):
+            n = Normal(raw)
+            rows = [(k, c, s["segment"], n.text(int(n.first[i]) + s["lo"], int(n.first[i]) + s["hi"])) for i, (k, c, spans) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text_code", "spans")), strict=True)) for s in spans]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "text_code", "segment", "passage"])
 
-_STRETCH = T.StructType().add("shard", "integer").add("anchor", "long").add("doc_id", "long").add("text_code", "long").add("start", "long").add("n", "long").add("stretch", "binary")
-_SPAN = T.StructType().add("doc_id", "long").add("text_code", "long").add("start", "long").add("stop", "long")
+    some = docs.select("doc_id", "text_code", "text").mapInArrow(owners, "doc_id long, text_code long, text string")
+    # rows of one doc_id and text are alike: one of them is enough
+    found = some.join(per_doc, ["doc_id", "text_code"]).mapInArrow(cut, "doc_id long, text_code long, segment int, passage binary")
+    return found.groupBy("doc_id", "text_code", "segment").agg(F.first("passage").alias("passage"))
 
 
-def stretches(docs: DataFrame, shards: int, bits: np.ndarray) -> DataFrame:
-    """Rows for the shards. Without text: n windows from the word start on that are covered for certain."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+class Normal(Words):
+    """Words of texts, and the texts with each word followed by one space, and led in by a line feed and a space."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, _Seen()
-        for batch, raw in chunks(batches):
-            w = words(raw)
-            code, fits, anchor = anchors(w)
-            pos = np.flatnonzero(fits & in_bitmap(bits, anchor))
-            keys, text_code = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("doc_id", "text_code"))
-            doc = w.doc[pos]
-            code, anchor, key = code[pos], anchor[pos], keys[doc]
-            order = np.lexsort((key, code))
-            first = np.ones(len(order), bool)
-            first[1:] = code[order][1:] != code[order][:-1]
-            group = np.cumsum(first) - 1
-            low = np.zeros(len(order), np.int64)
-            low[order] = key[order][first][group] if len(order) else 0
-            shared_here = np.zeros(len(order), bool)
-            shared_here[order] = (np.bincount(group)[group] > 1) if len(order) else False
-            least = np.minimum(low, seen.of(code))
-            seen.add(code[shared_here], low[shared_here])
-            covered = key > least
-            rows: list[tuple] = []
-            for kind in (True, False):
-                at = np.flatnonzero(covered == kind)
-                d, p, a = doc[at], pos[at], anchor[at]
-                begin = _runs(d, p) if kind else _runs(d, p, a)
-                size = np.diff(np.append(begin, len(at)))
-                for b, n in zip(begin.tolist(), size.tolist(), strict=True):
-                    i, x, s = int(d[b]), int(a[b]), int(p[b])
-                    stretch = None if kind else b" ".join([w.text(j) for j in range(s, s + n + WINDOW - 1)])
-                    rows.append((x % shards, x, int(keys[i]), int(text_code[i]), s - int(w.first[i]), n, stretch))
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5, pa.binary()), strict=True)], _STRETCH.names)
-
-    return docs.mapInArrow(run, _STRETCH)
-
-
-def _located(texts: list[bytes], phrases: set[bytes]) -> Iterator[tuple[int, int]]:
-    """(text, word) of every whole-word occurrence of a phrase."""
+    def __init__(self, raw: list[bytes]) -> None:
+        w = words(raw)
+        super().__init__(w.buf, w.start, w.end, w.first, w.code)
+        size = self.end - self.start + 1
+        lead = np.zeros(len(size) + 1, np.int64)
+        np.add.at(lead, self.first[:-1], 2)
+        self.at = np.cumsum(np.append(0, size)) + np.cumsum(lead)  # of each word, and of what would follow the last
+        data, out = np.frombuffer(self.buf, np.uint8), np.full(int(self.at[-1]), 0x20, np.uint8)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[self.start] = 1
+        inside[self.end] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        length = size - 1
+        out[np.repeat(self.at[:-1] - np.cumsum(length) + length, length) + np.arange(length.sum())] = data[inside]
+        out[(self.at[self.first[:-1]] - 2)] = 0x0A
+        self.norm = out.tobytes()
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b of one text, joined by a space."""
+        return self.norm[self.at[a] : self.at[b - 1] + self.end[b - 1] - self.start[b - 1]] if b > a else b""
+
+
+def automaton(n: Normal):
+    """Of the anchor phrases of segments: the automaton, and for phrase i the words begin[i]:begin[i + 1] of word at which it starts."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for p in phrases:
-        s = p.decode()
-        automaton.add_word(s, len(s))
-    if not phrases:
-        return
-    automaton.make_automaton()
-    for i, raw in enumerate(texts):
-        text = raw.decode()
-        for end, size in automaton.iter(text):
-            start = end - size + 1
-            if (not start or text[start - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
-                yield i, text.count(" ", 0, start)
-
-
-def _shard(table: pa.Table) -> pa.Table:
-    stretch = table.column("stretch")
-    sure = table.filter(pa.compute.is_null(stretch))
-    table = table.filter(pa.compute.is_valid(stretch))
-    n, start, key, text_code, anchor = (np.asarray(table.column(c)) for c in ("n", "start", "doc_id", "text_code", "anchor"))
-    first = np.cumsum(n) - n
-    total = int(n.sum())
-    code, row, phrase_at = np.zeros(total, np.uint64), np.repeat(np.arange(len(n)), n), np.zeros(len(n), np.int64)
-    texts: list[bytes] = []
-    for part, raw in chunks(table.to_batches(), "stretch"):
-        w, base = words(raw), len(texts)
-        texts += raw
-        whole, phrase = w.windows(WINDOW)[0], w.windows(PHRASE)[0]
-        own = slice(base, base + part.num_rows)
-        inner = np.repeat(w.first[:-1] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
-        code[first[base] : first[base] + len(inner)] = whole[inner]
-        hit = np.flatnonzero(phrase.view(np.int64) == anchor[own][w.doc])
-        doc, at = np.unique(w.doc[hit], return_index=True)
-        phrase_at[base + doc] = hit[at] - w.first[doc]
-    order = np.lexsort((key[row], code))
-    new = np.ones(total, bool)
-    new[1:] = code[order][1:] != code[order][:-1]
-    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-    low, recurs = np.zeros(total, np.int64), np.zeros(total, bool)
-    if total:
-        lows, highs = key[row][order][begin], key[row][order][np.append(begin[1:], total) - 1]
-        low[order], recurs[order] = lows[group], (lows < highs)[group]
-    some = np.unique(row[recurs]).tolist()
-    phrases = {b" ".join(texts[i].split(b" ")[phrase_at[i] : phrase_at[i] + PHRASE]) for i in some}
-    held = np.zeros(total + 1, np.int64)  # windows that hold a located phrase, as steps up and down
-    for i, q in _located([texts[i] for i in some], phrases):
-        i = some[i]
-        a, b = max(0, q + PHRASE - WINDOW), min(int(n[i]) - 1, q)
-        if a <= b:
-            held[first[i] + a] += 1
-            held[first[i] + b + 1] -= 1
-    covered = np.flatnonzero((np.cumsum(held)[:-1] > 0) & recurs & (key[row] > low))
-    own, at = row[covered], covered - first[row[covered]]
-    b = _runs(own, at)
-    size = np.diff(np.append(b, len(covered)))
-    at, own = start[own[b]] + at[b], own[b]
-    out = pa.table([pa.array(x) for x in (key[own], text_code[own], at, at + size + WINDOW - 1)], names=_SPAN.names)
-    sure_start, sure_n = np.asarray(sure.column("start")), np.asarray(sure.column("n"))
-    known = pa.table([sure.column("doc_id"), sure.column("text_code"), pa.array(sure_start), pa.array(sure_start + sure_n + WINDOW - 1)], names=_SPAN.names)
-    return pa.concat_tables([out, known])
-
-
-def repeated_spans(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """docs (doc_id, text_code, text) to (doc_id, text_code, spans): spans of words that go, in order."""
-    total = text_bytes(docs)
-    shards = shards or max(1, -(-total // SHARD_TEXT_BYTES))
-    bits = recurring_bits(docs, total)
-    rows = stretches(docs, shards, bits)
-    spans = rows.groupBy("shard").applyInArrow(_shard, _SPAN)
-    return spans.groupBy("doc_id", "text_code").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    code, fits, anchor = anchors(n)
+    phrase, whole = n.windows(PHRASE)
+    at = np.flatnonzero(whole & np.isin(phrase.view(np.int64), anchor[fits]))
+    order = at[np.argsort(phrase[at], kind="stable")]
+    new = np.ones(len(order), bool)
+    new[1:] = phrase[order][1:] != phrase[order][:-1]
+    begin = np.append(np.flatnonzero(new), len(order))
+    out = ahocorasick.Automaton()
+    for i, w in enumerate(order[new].tolist()):  # bytes as letters, so that places are bytes; spaces on both sides, so that words are whole
+        pattern = n.norm[n.at[w] - 1 : n.at[w + PHRASE - 1] + n.end[w + PHRASE - 1] - n.start[w + PHRASE - 1] + 1].decode("latin-1")
+        out.add_word(pattern, (i, len(pattern)))
+    if len(order):
+        out.make_automaton()
+    return (out if len(order) else None), begin, order
+
+
+def covered_words(docs: Normal, keys: np.ndarray, passages: Normal, owners: np.ndarray) -> np.ndarray:
+    """Whether each word of docs lies in WINDOW words that a passage of a smaller owner has. Only phrases that the automaton hits are looked at."""
+    steps = np.zeros(len(docs.code) + 1, np.int64)
+    find, begin, where = automaton(passages)
+    if find is None or not len(docs.code):
+        return steps[:-1] > 0
+    hits = np.array([(end - size + 2, i) for end, (i, size) in find.iter(docs.norm.decode("latin-1"))], np.int64).reshape(-1, 2)
+    at, which = np.searchsorted(docs.at[:-1], hits[:, 0]), hits[:, 1]
+    count = begin[which + 1] - begin[which]
+    other = where[np.repeat(begin[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+    at = np.repeat(at, count)
+    doc, passage = docs.doc, passages.doc
+    earlier = owners[passage[other]] < keys[doc[at]]
+    at, other = at[earlier], other[earlier]
+    own, own_fits = docs.windows(WINDOW)
+    theirs, their_fits = passages.windows(WINDOW)
+    found = []
+    for back in range(WINDOW - PHRASE + 1):
+        a, b = at - back, other - back
+        ok = (a >= docs.first[doc[at]]) & (b >= passages.first[passage[other]])
+        a, b = a[ok], b[ok]
+        ok = own_fits[a] & their_fits[b] & (own[a] == theirs[b])
+        found.append(((a[ok] - b[ok] + len(passages.code)) << 32) | a[ok])
+    lined = np.unique(np.concatenate(found))  # by how far passage and text are apart, then by place
+    starts = np.flatnonzero(np.diff(lined, prepend=-2) != 1)
+    many = np.diff(np.append(starts, len(lined))).tolist()
+    for shift, a, n in zip(((lined[starts] >> 32) - len(passages.code)).tolist(), (lined[starts] & 0xFFFFFFFF).tolist(), many, strict=True):
+        if docs.text(a, a + n + WINDOW - 1) == passages.text(a - shift, a - shift + n + WINDOW - 1):
+            steps[a] += 1
+            steps[a + n + WINDOW - 1] -= 1
+    return np.cumsum(steps)[:-1] > 0
+
+
+def _kept(docs: Normal, gone: np.ndarray) -> dict[str, pa.Array]:
+    """Per text: words, words that go, the digest of the kept words, and the text without the others."""
+    lost = np.concatenate([[0], np.cumsum(gone)])[docs.first]
+    sha, text = [], []
+    for a, b, n in zip(docs.first[:-1].tolist(), docs.first[1:].tolist(), np.diff(lost).tolist(), strict=True):
+        if not n:
+            sha.append(hashlib.sha256(docs.text(a, b)).hexdigest())
+            text.append(None)
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[1], gone[a:b], [1]]).astype(np.int8))) + a
+        runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+        sha.append(hashlib.sha256(b" ".join([docs.text(x, y) for x, y in runs])).hexdigest())
+        text.append(b" ".join([docs.buf[docs.start[x] : docs.end[y - 1]] for x, y in runs]).decode())  # with the white space inside a run
+    return {"n_words": pa.array(np.diff(docs.first), pa.int64()), "n_removed": pa.array(np.diff(lost), pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(text, pa.string())}
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
-    """df with n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept_text (the text without the spans)."""
+    """df with n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept_text (the text without the others)."""
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    df = df.drop(*new, "_key", "_code", "_spans")
-    marked = df.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "_code": F.xxhash64(text)})
-    spans = repeated_spans(marked.select(F.col("_key").alias("doc_id"), F.col("_code").alias("text_code"), F.col(text).cast("string").alias("text")), shards)
-    joined = marked.join(spans.select(F.col("doc_id").alias("_key"), F.col("text_code").alias("_code"), F.col("spans").alias("_spans")), ["_key", "_code"], "left")
+    df = df.drop(*new, "_key", "_code", "_shard")
+    total = text_bytes(df, text)
+    shards = shards or max(1, -(-total // SHARD_BYTES))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    marked = df.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "_code": F.coalesce(F.xxhash64(text), F.lit(0))})
+    marked = marked.withColumn("_shard", F.pmod(F.xxhash64("_key", "_code"), F.lit(shards)).cast("int"))
+    docs = marked.select(F.col("_key").alias("doc_id"), F.col("_code").alias("text_code"), F.col("_shard").alias("shard"), F.col(text).cast("string").alias("text"))
+    seen = written(windows_of(docs, recurring_bits(docs, total)))
+    first = F.min(F.struct("doc_id", "text_code", "at")).alias("first")
+    recur = written(seen.groupBy("code").agg(first, F.max("doc_id").alias("high")).where("first.doc_id < high").select("code", "first.*"))
+    recur = recur.withColumn("segment", F.floor(F.col("at") / SEGMENT).cast("int"))
+    asked = (
+        seen.select("code", "shard", F.col("doc_id").alias("asker")).join(recur, "code").where("asker > doc_id")
+        .select("shard", "doc_id", "text_code", "segment").distinct()
+    )
+    sent = asked.join(segments(docs, recur), ["doc_id", "text_code", "segment"]).select(F.col("shard").alias("_shard"), F.col("doc_id").alias("owner"), "passage")
     schema = T.StructType(df.schema.fields).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in chunks(batches, text):
-            w, total, gone, sha, kept = words(raw), [], [], [], []
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
-                a, b = int(w.first[i]), int(w.first[i + 1])
-                keep = np.ones(b - a, bool)
-                for s in spans or ():
-                    keep[s["start"] : s["stop"]] = False
-                left = np.flatnonzero(keep)
-                total.append(b - a)
-                gone.append(b - a - len(left))
-                sha.append(hashlib.sha256(b" ".join([w.text(a + j) for j in left.tolist()])).hexdigest())
-                if len(left) == b - a:
-                    kept.append(raw[i].decode())
-                else:  # each run of kept words with the white space inside it
-                    cut = np.flatnonzero(np.diff(left) > 1)
-                    runs = zip(left[np.append(0, cut + 1)].tolist(), left[np.append(cut, -1)].tolist(), strict=True) if len(left) else ()
-                    kept.append(b" ".join([w.buf[w.start[a + x] : w.end[a + y]] for x, y in runs]).decode())
-            own = {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha), "kept_text": pa.array(kept, pa.string())}
-            yield pa.record_batch([own[f.name] if f.name in own else batch.column(f.name) for f in schema], [f.name for f in schema])
-
-    return joined.mapInArrow(run, schema)
+    def run(rows: pa.Table, passages: pa.Table) -> pa.Table:
+        raw = [x or b"" for x in rows.column(text).cast(pa.large_binary()).to_pylist()]
+        docs = Normal(raw)
+        gone = covered_words(docs, np.asarray(rows.column("_key")), Normal(passages.column("passage").to_pylist()), np.asarray(passages.column("owner")))
+        own = _kept(docs, gone)
+        whole = pa.compute.fill_null(rows.column(text).cast(pa.string()), "")
+        own["kept_text"] = pa.compute.coalesce(pa.chunked_array([own["kept_text"]]), whole)
+        del docs, raw
+        release()
+        return pa.table([own[f.name] if f.name in own else rows.column(f.name) for f in schema], [f.name for f in schema])
+
+    left, right = (x.repartition(tasks, "_shard").groupBy("_shard") for x in (marked, sent))
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def op2_automata_repeats(spark, sf_dir: str) -> DataFrame:
