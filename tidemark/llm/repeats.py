@@ -42,7 +42,7 @@ from tidemark.llm.words import Words, chunks, release, words
 WINDOW = 50
 PHRASE = 8
 SEGMENT = 128
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 18
 TASK_BYTES = 32 << 20
 MOST_BITS = 1 << 29
 _LAST = (1 << 63) - 1
@@ -88,7 +88,7 @@ def recurring_bits(docs: DataFrame, total_bytes: int, most_bits: int = MOST_BITS
 
 
 def windows_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(code, doc_id, text_code, at, shard) of every window whose anchor may recur."""
+    """(code, doc_id, at, shard) of every window whose anchor may recur."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,16 +97,16 @@ def windows_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             code, fits, anchor = anchors(w)
             pos = np.flatnonzero(fits & in_bitmap(shared.value, anchor))
             doc = w.doc[pos]
-            own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "text_code", "shard")]
-            yield pa.record_batch([pa.array(x) for x in (code[pos].view(np.int64), own[0], own[1], (pos - w.first[doc]).astype(np.int32), own[2])], ["code", "doc_id", "text_code", "at", "shard"])
+            own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "shard")]
+            yield pa.record_batch([pa.array(x) for x in (code[pos].view(np.int64), own[0], (pos - w.first[doc]).astype(np.int32), own[1])], ["code", "doc_id", "at", "shard"])
 
-    return docs.mapInArrow(run, "code long, doc_id long, text_code long, at int, shard int")
+    return docs.mapInArrow(run, "code long, doc_id long, at int, shard int")
 
 
 def segments(docs: DataFrame, owned: DataFrame) -> DataFrame:
-    """(doc_id, text_code, segment, passage): the text of each segment that has owned windows, words joined by a space."""
-    spans = owned.groupBy("doc_id", "text_code", "segment").agg(F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
-    per_doc = written(spans.groupBy("doc_id", "text_code").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("spans")))  # as many as a text has segments
+    """(doc_id, segment, passage): the text of each segment that has owned windows, words joined by a space; of each row, where rows share a doc_id."""
+    spans = owned.groupBy("doc_id", "segment").agg(F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
+    per_doc = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("spans")))  # as many as a text has segments
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(per_doc, "doc_id", 32 * per_doc.count(), MOST_BITS))
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +115,13 @@ def segments(docs: DataFrame, owned: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in chunks(batches):
-            n = Normal(raw)
-            rows = [(k, c, s["segment"], n.text(int(n.first[i]) + s["lo"], int(n.first[i]) + s["hi"])) for i, (k, c, spans) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text_code", "spans")), strict=True)) for s in spans]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "text_code", "segment", "passage"])
+            n, rows = Normal(raw), []
+            for a, b, k, spans in zip(n.first[:-1].tolist(), n.first[1:].tolist(), batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                rows += [(k, s["segment"], n.text(a + s["lo"], min(b, a + s["hi"]))) for s in spans]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "segment", "passage"])
 
-    some = docs.select("doc_id", "text_code", "text").mapInArrow(owners, "doc_id long, text_code long, text string")
-    # rows of one doc_id and text are alike: one of them is enough
-    found = some.join(per_doc, ["doc_id", "text_code"]).mapInArrow(cut, "doc_id long, text_code long, segment int, passage binary")
-    return found.groupBy("doc_id", "text_code", "segment").agg(F.first("passage").alias("passage"))
+    some = docs.select("doc_id", "text").mapInArrow(owners, "doc_id long, text string")
+    return some.join(per_doc, "doc_id").mapInArrow(cut, "doc_id long, segment int, passage binary").distinct()
 
 
 class Normal(Words):
@@ -222,22 +221,18 @@ def _kept(docs: Normal, gone: np.ndarray) -> dict[str, pa.Array]:
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
     """df with n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept_text (the text without the others)."""
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    df = df.drop(*new, "_key", "_code", "_shard")
+    df = df.drop(*new, "_key", "_shard")
     total = text_bytes(df, text)
     shards = shards or max(1, -(-total // SHARD_BYTES))
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    marked = df.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "_code": F.coalesce(F.xxhash64(text), F.lit(0))})
-    marked = marked.withColumn("_shard", F.pmod(F.xxhash64("_key", "_code"), F.lit(shards)).cast("int"))
-    docs = marked.select(F.col("_key").alias("doc_id"), F.col("_code").alias("text_code"), F.col("_shard").alias("shard"), F.col(text).cast("string").alias("text"))
+    marked = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(_LAST)))
+    marked = marked.withColumn("_shard", F.pmod(F.xxhash64("_key", text), F.lit(shards)).cast("int"))
+    docs = marked.select(F.col("_key").alias("doc_id"), F.col("_shard").alias("shard"), F.col(text).cast("string").alias("text"))
     seen = written(windows_of(docs, recurring_bits(docs, total)))
-    first = F.min(F.struct("doc_id", "text_code", "at")).alias("first")
-    recur = written(seen.groupBy("code").agg(first, F.max("doc_id").alias("high")).where("first.doc_id < high").select("code", "first.*"))
-    recur = recur.withColumn("segment", F.floor(F.col("at") / SEGMENT).cast("int"))
-    asked = (
-        seen.select("code", "shard", F.col("doc_id").alias("asker")).join(recur, "code").where("asker > doc_id")
-        .select("shard", "doc_id", "text_code", "segment").distinct()
-    )
-    sent = asked.join(segments(docs, recur), ["doc_id", "text_code", "segment"]).select(F.col("shard").alias("_shard"), F.col("doc_id").alias("owner"), "passage")
+    recur = seen.groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"), F.min_by("at", "doc_id").alias("at"))
+    recur = written(recur.where("doc_id < high").select("code", "doc_id", "at", F.floor(F.col("at") / SEGMENT).cast("int").alias("segment")))
+    asked = seen.select("code", "shard", F.col("doc_id").alias("asker")).join(recur, "code").where("asker > doc_id").select("shard", "doc_id", "segment").distinct()
+    sent = asked.join(segments(docs, recur), ["doc_id", "segment"]).select(F.col("shard").alias("_shard"), F.col("doc_id").alias("owner"), "passage")
     schema = T.StructType(df.schema.fields).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
 
     def run(rows: pa.Table, passages: pa.Table) -> pa.Table:

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 CHUNK_BYTES = 1 << 19
+#: tables of powers beyond this length are not kept
+MOST_KEPT = CHUNK_BYTES * 2
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 #: ASCII other than digits and letters
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -25,8 +27,13 @@ _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 
 
-@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of base and of its inverse; a few lengths only, so that a worker keeps few tables."""
+    return _power_table(base, MOST_KEPT) if n <= MOST_KEPT else _power_table.__wrapped__(base, n)
+
+
+@lru_cache(maxsize=4)
+def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -70,7 +77,7 @@ class Words:
         n = len(self.code)
         if n < k:
             return np.zeros(n, np.uint64), np.zeros(n, bool)
-        up, down = _powers(_Q, CHUNK_BYTES * 2) if n < CHUNK_BYTES * 2 else _powers(_Q, n + 1)
+        up, down = _powers(_Q, n + 1)
         run = _running(self.code * up[:n])
         out = np.zeros(n, np.uint64)
         out[: n - k + 1] = mix((run[k:] - run[: n - k + 1]) * down[: n - k + 1] + np.uint64(k))
@@ -84,7 +91,7 @@ class Words:
 def codes_between(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A code of the bytes from each start to its end."""
     n = len(data)
-    up, down = _powers(_P, CHUNK_BYTES * 2) if n < CHUNK_BYTES * 2 else _powers(_P, n + 1)
+    up, down = _powers(_P, n + 1)
     run = _running(_codes()[data] * up[:n])
     return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
 
@@ -103,7 +110,7 @@ def words(raw: list[bytes], between: bytes = WHITE, fold: bool = False) -> Words
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     start, end = edge[::2], edge[1::2]
     n = len(data)
-    up, down = _powers(_P, CHUNK_BYTES * 2) if n < CHUNK_BYTES * 2 else _powers(_P, n + 1)
+    up, down = _powers(_P, n + 1)
     run = _running(codes[data] * up[:n])
     code = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
     at = np.cumsum([0, *(len(r) + 1 for r in raw)])
