@@ -7,9 +7,11 @@ smaller doc_id. The steps:
     windows have equal anchors. Anchors seen in two documents set bits of a bitmap,
     whose size follows the text up to MOST_BITS; it only spares work: the fuller it is,
     the more windows are counted, and the result stays the same.
-2.  Windows with such an anchor are counted by their hash: those of two documents recur,
-    and the smallest of them owns the window. Owned windows are confirmed passages, cut
-    out of their owners' texts in segments of SEGMENT windows.
+2.  Consecutive windows with one such anchor are a run, known by a hash of its words. Of
+    equal runs that of the smallest document alone shows its windows, so that copies cost
+    a row for each run. Windows are then counted by their hash: the smallest document that
+    has one owns it. Owned windows are confirmed passages, cut out of their owners' texts
+    in segments of SEGMENT windows.
 3.  Documents are dealt to shards of about SHARD_BYTES by a hash. A shard is sent the
     segments whose windows its documents have, each once, however many of them.
 4.  A shard compiles the anchor phrases of its segments into an automaton, streams all of
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.bitmap import bitmap, in_bitmap
 from tidemark.llm.shared import text_bytes, written
-from tidemark.llm.words import Words, chunks, release, words
+from tidemark.llm.words import Words, chunks, mix, release, words
 
 WINDOW = 50
 PHRASE = 8
@@ -46,6 +48,7 @@ SHARD_BYTES = 3 << 18
 TASK_BYTES = 32 << 20
 MOST_BITS = 1 << 29
 _LAST = (1 << 63) - 1
+_MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,25 +90,49 @@ def recurring_bits(docs: DataFrame, total_bytes: int, most_bits: int = MOST_BITS
     return bitmap(found, "anchor", total_bytes // 16, most_bits)
 
 
-def windows_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(code, doc_id, at, shard) of every window whose anchor may recur."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _runs(w: Words, bits: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of windows whose anchor may recur: code, mark (of code and document), text, first window and number of windows."""
+    code, fits, anchor = anchors(w)
+    pos = np.flatnonzero(fits & in_bitmap(bits, anchor))
+    doc = w.doc[pos]
+    new = np.ones(len(pos), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (anchor[pos[1:]] != anchor[pos[:-1]])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(pos)))
+    unit = w.between(pos[at], pos[at] + size + WINDOW - 1)
+    return unit.view(np.int64), mix(unit + keys[doc[at]].view(np.uint64) * _MARK).view(np.int64), doc[at], pos[at], size
+
+
+def runs_of(docs: DataFrame, shared) -> DataFrame:
+    """(unit, mark, doc_id, shard): a row for each run of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunks(batches):
+            keys = np.array(batch.column("doc_id"), np.int64)
+            unit, mark, doc, _, _ = _runs(words(raw), shared.value, keys)
+            yield pa.record_batch([pa.array(x) for x in (unit, mark, keys[doc], np.asarray(batch.column("shard"))[doc])], ["unit", "mark", "doc_id", "shard"])
+
+    return docs.mapInArrow(run, "unit long, mark long, doc_id long, shard int")
+
+
+def windows_of(docs: DataFrame, shared, marks) -> DataFrame:
+    """(code, unit, doc_id, at): the windows of the runs whose mark is in the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in chunks(batches):
-            w = words(raw)
-            code, fits, anchor = anchors(w)
-            pos = np.flatnonzero(fits & in_bitmap(shared.value, anchor))
-            doc = w.doc[pos]
-            own = [np.asarray(batch.column(c))[doc] for c in ("doc_id", "shard")]
-            yield pa.record_batch([pa.array(x) for x in (code[pos].view(np.int64), own[0], (pos - w.first[doc]).astype(np.int32), own[1])], ["code", "doc_id", "at", "shard"])
+            w, keys = words(raw), np.array(batch.column("doc_id"), np.int64)
+            unit, mark, doc, at, size = _runs(w, shared.value, keys)
+            unit, doc, at, size = (x[in_bitmap(marks.value, mark)] for x in (unit, doc, at, size))
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            code = w.windows(WINDOW)[0][np.repeat(at, size) + inside].view(np.int64)
+            yield pa.record_batch([pa.array(x) for x in (code, np.repeat(unit, size), np.repeat(keys[doc], size), (np.repeat(at - w.first[doc], size) + inside).astype(np.int32))], ["code", "unit", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "code long, doc_id long, at int, shard int")
+    return docs.mapInArrow(run, "code long, unit long, doc_id long, at int")
 
 
-def segments(docs: DataFrame, owned: DataFrame) -> DataFrame:
-    """(doc_id, segment, passage): the text of each segment that has owned windows, words joined by a space; of each row, where rows share a doc_id."""
-    spans = owned.groupBy("doc_id", "segment").agg(F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi"))
+def segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, segment, passage): the text of each segment that is asked for, words joined by a space; of each row, where rows share a doc_id."""
+    spans = asked.groupBy("doc_id", "segment").agg(F.min("low").alias("lo"), (F.max("high") + WINDOW).alias("hi"))
     per_doc = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("segment", "lo", "hi")).alias("spans")))  # as many as a text has segments
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(per_doc, "doc_id", 32 * per_doc.count(), MOST_BITS))
 
@@ -228,11 +255,17 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
     marked = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(_LAST)))
     marked = marked.withColumn("_shard", F.pmod(F.xxhash64("_key", text), F.lit(shards)).cast("int"))
     docs = marked.select(F.col("_key").alias("doc_id"), F.col("_shard").alias("shard"), F.col(text).cast("string").alias("text"))
-    seen = written(windows_of(docs, recurring_bits(docs, total)))
-    recur = seen.groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("high"), F.min_by("at", "doc_id").alias("at"))
-    recur = written(recur.where("doc_id < high").select("code", "doc_id", "at", F.floor(F.col("at") / SEGMENT).cast("int").alias("segment")))
-    asked = seen.select("code", "shard", F.col("doc_id").alias("asker")).join(recur, "code").where("asker > doc_id").select("shard", "doc_id", "segment").distinct()
-    sent = asked.join(segments(docs, recur), ["doc_id", "segment"]).select(F.col("shard").alias("_shard"), F.col("doc_id").alias("owner"), "passage")
+    shared = df.sparkSession.sparkContext.broadcast(recurring_bits(docs, total))
+    units = written(runs_of(docs, shared))
+    first = written(units.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.min_by("mark", "doc_id").alias("mark")).select("mark"))
+    marks = df.sparkSession.sparkContext.broadcast(bitmap(first, "mark", 16 * first.count(), MOST_BITS))
+    shown = written(windows_of(docs, shared, marks))
+    owner = shown.groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"))
+    # of each run, the segments that its windows are owned by
+    owned = shown.select("code", "unit").join(owner, "code").groupBy("unit", "doc_id", F.floor(F.col("at") / SEGMENT).cast("int").alias("segment")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    asked = units.select("unit", "shard", F.col("doc_id").alias("asker")).join(owned, "unit").where("asker > doc_id")
+    asked = written(asked.groupBy("shard", "doc_id", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    sent = asked.join(segments(docs, asked), ["doc_id", "segment"]).select(F.col("shard").alias("_shard"), F.col("doc_id").alias("owner"), "passage")
     schema = T.StructType(df.schema.fields).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
 
     def run(rows: pa.Table, passages: pa.Table) -> pa.Table:

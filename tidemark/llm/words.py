@@ -84,6 +84,12 @@ class Words:
         last = np.repeat(self.first[1:], np.diff(self.first))
         return out, np.arange(n) + k <= last
 
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A code of the words from each start to its end."""
+        up, down = _powers(_Q, len(self.code) + 1)
+        run = _running(self.code * up[: len(self.code)])
+        return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+
     def text(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]]
 
