@@ -3,14 +3,15 @@
 Labelled rows are split by crc32(doc_id) mod 5. 0 is held out and never learnt from;
 1 and 2 give a lexicon, the words and word beginnings that toxic texts have far more
 often; 3 trains the trees on features, the lexicon's densities among them; 4 calibrates
-the trees' probabilities. So no stage learns from what the one before has already seen.
-Scores then use the lexicon of all four, which knows more words of the same kind.
-MOST_LABELLED bounds the labelled rows used; all others are scored only. Learning also
+the trees' probabilities. So no stage learns from what the one before has already seen,
+and all documents are scored on the features that trees and curve were fitted to.
+MOST_LABELLED bounds the labelled doc_ids used; all others are scored only. Learning also
 needs some rows of either kind: without them the share of toxic labels is every score.
 
 Defined results: null and empty texts have zero features and the score of those; several
-labels of a doc_id count as toxic if one is; repeated rows each give a row; an empty
-table gives none; other columns are ignored, labels, lang and source among them.
+labels of a doc_id count as toxic if one is; repeated rows each give a row, with one
+score; a null doc_id is not held out and has no label; equal texts have equal scores; an
+empty table gives none; other columns are ignored, labels, lang and source among them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from tidemark.llm.shared import texts, written
 from tidemark.llm.words import release
 
 MOST_LABELLED = 60_000
-MOST_TERMS = 4096
 LEAST_TOXIC_DOCS = 3
 LEAST_LOG_ODDS = 2.0
 STEMS = (4, 5)
@@ -54,8 +54,8 @@ def terms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def lexicon(labelled: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
-    """(text, toxic) to the log odds of the terms that tell toxic texts best, most at most."""
+def lexicon(labelled: DataFrame) -> dict[str, float]:
+    """(text, toxic) to the log odds of the terms that tell toxic texts. Bounded by the labelled sample: a term is in LEAST_TOXIC_DOCS of its toxic texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +74,6 @@ def lexicon(labelled: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
         labelled.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") >= LEAST_TOXIC_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(most)
     )
     return {r["term"]: r["odds"] for r in found.select("term", "odds").collect()}
 
@@ -153,7 +152,7 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         trees = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=11, cacheNodeIds=False).fit(learn.where("fold = 3"))
         chance = lambda d: trees.transform(d).withColumn("chance", vector_to_array("probability")[1])
         curve = IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="score").fit(chance(learn.where("fold = 4")).select("chance", "label"))
-        x = feature_rows(rows, lexicon(labelled)).withColumn("features", array_to_vector("x"))
+        x = feature_rows(rows, words).withColumn("features", array_to_vector("x"))
         scored = curve.transform(chance(x).select("doc_id", "held_out", "chance")).select("doc_id", "held_out", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
