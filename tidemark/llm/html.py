@@ -6,12 +6,17 @@ their number; along the page, both ratios are smoothed over neighbouring nodes,
 multiplication, and a node stays if the fused value reaches LEAST of its spread, or
 ENOUGH characters. What lies in the element that holds a node that stays, stays with it,
 however short; in the page's body itself, that is so for all but nodes that are nothing
-but links. A heading stays with what it stands above. Paths that pass through an element whose kind or name says boilerplate (a menu, header, footer,
-sidebar, notice, advert, form or reader comments) weigh nothing.
+but links. A heading stays with what it stands above. Paths that pass through an element
+whose kind or name says boilerplate (a menu, header, footer, sidebar, notice, advert, form
+or reader comments) weigh nothing; a name that articles bear too counts only where the
+element does not hold most of the page's text. Boilerplate without a telling name goes by
+the ratios alone.
 
 Defined results: null and empty pages, and pages without content nodes, give an empty
-text; unclosed tags end where their parent or a sibling does; repeated rows each give a
-row; an empty table gives none; other columns are ignored; nothing is cut short.
+text; unclosed tags end where their parent or a sibling does, a head at the first element
+that it cannot hold, and a quote that does not end with its tag; a null page_id or url
+stays null; repeated rows each give a row; an empty table gives none; other columns are
+ignored; nothing is cut short.
 """
 
 from __future__ import annotations
@@ -29,16 +34,21 @@ from pyspark.sql import functions as F
 LEAST = 0.2
 ENOUGH = 30.0
 KERNEL = np.array([0.25, 0.5, 0.25])
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*|[^<>]*)>|<[!?][^>]*>""", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _UNSEEN = re.compile(r"""\shidden(?:[\s=/]|\Z)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
+_WORD = r"(?:^|[-_ ])(?:%s)(?:$|[-_ ])"
 _BOILERPLATE = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|foot\w*|side-?bar\w*|aside|widget\w*|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|respond|login|search|pagination|pager|copyright|disclaimer|legal|complementary|contentinfo|navigation|dialog)(?:$|[-_ ])",
+    _WORD % r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|masthead|foot\w*|side-?bar\w*|cookie\w*|consent|popup|modal|newsletter|subscri\w*|sharing|comments?|commentlist|replies|respond|login|pagination|pager|complementary|contentinfo|navigation|dialog",
     re.I,
 )
+#: names that articles bear too: boilerplate unless the element holds more than half of the page's plain text
+_DOUBTFUL = re.compile(_WORD % r"header|aside|widget\w*|notice\w*|alert|share|social|related|recommend\w*|search|copyright|disclaimer|legal", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math object select option button datalist".split())
 _DROPPED = frozenset("head nav header footer aside form menu dialog label fieldset audio video canvas figure-ad".split()) | _RAW
+#: what a head may hold; anything else ends it
+_HEAD = frozenset("head title meta link base style script noscript template".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: an opening tag ends an open sibling of these kinds
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -57,13 +67,14 @@ class Node:
     path: str
     text: str
     weight: float
+    doubtful: int  # the outermost block of a doubtful name that it lies in, or 0
     inside: tuple[int, ...]  # the block elements it lies in, but for html and body; 0 is the page
     linked: bool  # nothing but links
 
 
 def nodes(page: str) -> list[Node]:
     out: list[Node] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, whether it or what holds it is boilerplate, its number
+    stack: list[tuple[str, str, bool, int, int]] = []  # tag, name in the path, whether it or what holds it is boilerplate, its number, the outermost doubtful one
     held: list[str] = []
     at = number = plain = 0
 
@@ -82,7 +93,7 @@ def nodes(page: str) -> list[Node]:
         if text:
             blocks = [x for x in stack if x[0] not in _INLINE]
             inside = (0, *(x[3] for x in blocks if x[0] not in ("html", "body")))
-            out.append(Node(">".join(x[1] for x in blocks), text, 0.0 if blocks and blocks[-1][2] else 1.0, inside, linked))
+            out.append(Node(">".join(x[1] for x in blocks), text, 0.0 if blocks and blocks[-1][2] else 1.0, blocks[-1][4] if blocks else 0, inside, linked))
 
     while m := _TAG.search(page, at):
         put(page[at : m.start()])
@@ -97,6 +108,9 @@ def nodes(page: str) -> list[Node]:
             if level is not None:
                 del stack[level:]
             continue
+        if stack and tag not in _HEAD and any(x[0] == "head" for x in stack):
+            end_block()
+            del stack[next(i for i, x in enumerate(stack) if x[0] == "head") :]
         if tag in _RAW:
             if tag not in ("button", "option"):
                 end_block()
@@ -121,7 +135,7 @@ def nodes(page: str) -> list[Node]:
             boiler = _bad(tag, m[3])
             if boiler:
                 end_block()
-            stack.append((tag, tag, boiler or bool(stack and stack[-1][2]), 0))
+            stack.append((tag, tag, boiler or bool(stack and stack[-1][2]), 0, stack[-1][4] if stack else 0))
             continue
         end_block()
         while stack and stack[-1][0] in _INLINE:
@@ -139,7 +153,8 @@ def nodes(page: str) -> list[Node]:
                     break
         name = _NAME.findall(m[3])
         number += 1
-        stack.append((tag, tag + "".join("." + "".join(n) for n in name), _bad(tag, m[3]) or bool(stack and stack[-1][2]), number))
+        doubtful = stack[-1][4] if stack and stack[-1][4] else number if any(_DOUBTFUL.search("".join(n)) for n in name) else 0
+        stack.append((tag, tag + "".join("." + "".join(n) for n in name), _bad(tag, m[3]) or bool(stack and stack[-1][2]), number, doubtful))
     put(_BROKEN.sub(" ", page[at:]))
     end_block()
     return out
@@ -167,9 +182,19 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), KERNEL, "valid")
 
 
+def _undoubted(page: list[Node]) -> list[Node]:
+    """page without blocks of doubtful names, but for one with more than half of the plain text."""
+    size: dict[int, int] = {}
+    for n in page:
+        if not n.linked:
+            size[n.doubtful] = size.get(n.doubtful, 0) + len(n.text)
+    total = sum(size.values())
+    return [n for n in page if not n.doubtful or 2 * size.get(n.doubtful, 0) > total]
+
+
 def content(page: str) -> str:
     found = nodes(page)
-    own = [n for n in found if n.weight > 0]
+    own = _undoubted([n for n in found if n.weight > 0])
     if not own:
         return ""
     length, marks = path_ratios(own)
