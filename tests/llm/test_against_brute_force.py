@@ -318,6 +318,55 @@ def test_quality_cutoffs_bound_false_rejection(spark):
     assert sum(not got[i] for i, q in labels if not q) / 1000 > 0.9
 
 
+def test_quality_verdicts_against_a_plain_version(spark):
+    """Strata null, empty and en; equal texts with several labels; the levels, the tests and the verdicts in plain Python."""
+    from math import ceil
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.quality import FAIL, LEVELS, RISK, RULES, STEP, USEFUL, base_counts, verdicts
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 3 == 0
+        own = [w + "#$" if bad and rng.random() < 0.5 else w + "!" if rng.random() < 0.02 else w for w in rng.choices(words, k=60)]
+        rows.append((i, " ".join(own), [None, "", "en"][i // 7 % 3]))
+        labels.append((i, 0 if bad else 1))
+    rows += [(2000 + i, rows[i][1], rows[i][2]) for i in range(300)] + [(3000, None, "en"), (None, rows[0][1], "en")]
+    labels += [(2000 + i, 0) for i in range(0, 300, 50)] + [(5, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    label: dict = {}
+    for k, q in labels:
+        label[k] = min(q, label.get(k, 1))
+    counts = base_counts(docs).withColumn("half", F.pmod(F.xxhash64("twin", F.lit("half")), F.lit(2))).collect()
+    by: dict = collections.defaultdict(dict)
+    for r in counts:
+        if not r["base_failed"] and r["doc_id"] in label:
+            x = by[r["stratum"]].setdefault(r["twin"], [r["half"], 1, [r[c] for c in RULES]])
+            x[1] = min(x[1], label[r["doc_id"]])
+    limits = {}
+    for stratum, seen in by.items():
+        good = [x[2] for x in seen.values() if x[:2] == [0, 1]]
+        cut = [[sorted(g[r] for g in good)[max(0, ceil((1 - STEP * (m + 1)) * len(good)) - 1)] for m in range(LEVELS)] for r in range(6)]
+        bad = [x[2] for x in seen.values() if x[:2] == [0, 0]]
+        use = [sum(b[r] > cut[r][LEVELS // 2] for b in bad) / len(bad) >= USEFUL * STEP * (LEVELS // 2 + 1) for r in range(6)]
+        held, best = [x[2] for x in seen.values() if x[:2] == [1, 1]], None
+        for m in range(LEVELS):
+            k, n = sum(any(use[r] and h[r] > cut[r][m] for r in range(6)) for h in held), len(held)
+            if sum(comb(n, i) * RISK**i * (1 - RISK) ** (n - i) for i in range(k + 1)) > FAIL / len(by):
+                break
+            best = m
+        if best is not None:
+            limits[stratum] = [cut[r][best] if use[r] else float("inf") for r in range(6)]
+    assert len(by) == 3 and limits
+    want = sorted((str(r["doc_id"]), not r["base_failed"] and all(r[c] <= v for c, v in zip(RULES, limits.get(r["stratum"], [9e9] * 6), strict=True))) for r in counts)
+    got = sorted((str(r["doc_id"]), r["kept"]) for r in verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+    assert got == want and 0 < sum(not k for _, k in got) < len(got)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     from tidemark.llm.toxicity import score
 
@@ -442,6 +491,52 @@ def test_html_keeps_all_of_the_article(page, text):
     assert content(page) == text
 
 
+_LONG = "A paragraph of the article tells a long story, with commas and stops, and ends only here. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta x><body><p>{_LONG}</p></body>",
+        f'<p title="abc>{_LONG}</p>',
+        f'<p title="abc>{_LONG}<p class="x"></p>',
+        f'<div class="legal-news"><p>{_LONG}</p></div><div class="legal">Terms apply</div>',
+        f'<article class="search-and-rescue story"><p>{_LONG}</p></article>',
+        f'<p data-html="<b>x</b> > y">{_LONG}</p>',
+    ],
+)
+def test_html_of_broken_pages(page):
+    from tidemark.llm.html import content
+
+    assert content(page).removeprefix('<p title="abc>') == _LONG.strip()
+
+
+def test_html_ratios_remove_what_no_list_names():
+    """Words right and wrong, by the ratios and by the names alone, on pages whose menus and adverts have no telling names."""
+    from tidemark.llm.html import _undoubted, content, nodes
+
+    rng, right, wrong, missing, alone = random.Random(4), 0, 0, 0, 0
+    for i in range(40):
+        body = [" ".join(rng.choices(["story", "river", "then, of", "course.", "walked,", "home."], k=rng.randint(25, 90))) for _ in range(rng.randint(3, 8))]
+        links = "".join(f"<li><a href=/{j}>Page {j}</a></li>" for j in range(rng.randint(4, 12)))
+        boxes = [f'<div class="q{i}"><ul>{links}</ul></div>', '<div id="k2"><span>Buy now</span></div>', '<div class="z9"><b>Top deals</b></div>']
+        rng.shuffle(boxes)
+        page = boxes[0] + f'<div class="w{i}"><h1>The title</h1>' + "".join(f"<p>{b}</p>" for b in body) + "<p>He left.</p></div>" + "".join(boxes[1:])
+        want = collections.Counter(" ".join(["The title", *body, "He left."]).split())
+        got, listed = (collections.Counter(t.split()) for t in (content(page), " ".join(n.text for n in _undoubted([n for n in nodes(page) if n.weight > 0]))))
+        right += (want & got).total()
+        wrong, missing, alone = wrong + (got - want).total(), missing + (want - got).total(), alone + (listed - want).total()
+    assert missing == 0 and wrong < alone / 4
+
+
+def test_html_rows(spark):
+    from tidemark.llm.html import extract
+
+    rows = [(1, "u", f"<p>{_LONG}</p>", "x"), (1, "u", f"<p>{_LONG}</p>", "x"), (None, None, None, "x"), (2, "v", "", "x")]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", _LONG.strip(), len(_LONG.strip()))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
+
+
 def test_empty_tables(spark):
     from tidemark.llm.bpe import encode_and_decode
     from tidemark.llm.decontaminate import decontaminate

@@ -1,23 +1,30 @@
 """Quality rules whose cutoffs come with a guarantee on false rejections.
 
-Each rule is a share that is high in bad texts. Labelled texts are halved by a hash of
-doc_id. The bad texts of one half propose CUTOFFS cutoffs for each rule and stratum; the
-good texts of the other half test them. A cutoff passes if, were the true rate of good
-texts beyond it RISK / rules or more, so few of them would be seen with a probability of
-at most FAIL / (rules * strata): an exact binomial bound, with Bonferroni's correction
-over rules and strata. Cutoffs of one rule are tested from the mildest on and the first
-that fails ends the sequence, which needs no further correction. With a probability of
-1 - FAIL no stratum then loses more than RISK of its good texts to all rules together.
-A stratum with too few labels certifies nothing there, and keeps all that the base keeps.
+Each rule is a share that is high in bad texts. Labelled texts are halved by a hash of the
+text, and equal texts count once, so that no copy is on both halves. In each stratum the
+good texts of one half propose LEVELS sets of cutoffs, from mild to strict: level m cuts
+every rule at the share that m * STEP of them exceed. A rule takes part where more of the
+half's bad texts lie beyond its middle cutoff than USEFUL times as many good ones as
+should. The good texts of the other half then test the sets: a level passes if, were the
+true rate of good texts that it rejects RISK or more, so few of them would be rejected
+with a probability of at most FAIL / strata: an exact binomial bound on all rules
+together, with Bonferroni's correction over strata. Levels are nested, so they are tested
+from the mildest on and the first that fails ends the sequence, which needs no further
+correction. With a probability of 1 - FAIL no stratum then loses more than RISK of its
+good texts. A stratum with too few labels certifies nothing, and keeps all that the base
+keeps.
 
 Everything is DataFrame and SQL functions. Defined results: null and empty texts have no
-words and fail the base; a null stratum is one of its own; of several labels of a doc_id
-the lowest counts; repeated rows each give a row; an empty table gives none; further
-columns are ignored.
+words and fail the base; a null stratum is one of its own, apart from the empty one; of
+several labels of a doc_id or of a text the lowest counts; repeated rows each give a row,
+and equal texts of a stratum fare alike; a null doc_id has no label; an empty table gives
+none; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +32,10 @@ from tidemark.llm.shared import written
 
 RISK = 0.05
 FAIL = 0.05
-CUTOFFS = 32
-MOST_STRATA = 256
+LEVELS = 32
+#: of good texts that one more level puts beyond each rule
+STEP = 0.002
+USEFUL = 2
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbol_share", "mark_share", "capital_share", "double_line_share", "repeat_share", "word_length")
@@ -56,7 +65,7 @@ def repeat_words_sql(words: str) -> str:
 
 
 def base_counts(df: DataFrame, key: str = "doc_id", text: str = "text", stratum: str | None = "lang") -> DataFrame:
-    """doc_id, stratum, the base counts, base_failed, and a share for each of RULES."""
+    """doc_id, stratum, twin (a hash of the text), the base counts, base_failed, and a share for each of RULES."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), (F.col(stratum).cast("string") if stratum in df.columns else F.lit(None).cast("string")).alias("stratum"), body.alias("text"))
     split = rows.withColumns(
@@ -67,7 +76,7 @@ def base_counts(df: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     )
     chars = F.length("text")
     counts = split.select(
-        "doc_id", "stratum", F.size("ws").cast("long").alias("n_words"), F.length(_without(F.col("text"), WHITE)).cast("long").alias("word_chars"),
+        "doc_id", "stratum", F.xxhash64("text").alias("twin"), F.size("ws").cast("long").alias("n_words"), F.length(_without(F.col("text"), WHITE)).cast("long").alias("word_chars"),
         (chars - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"), (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         F.expr(repeat_words_sql("ws")).alias("n_repeat_words"), F.size("ls").alias("lines"), chars.alias("chars"),
         (chars - F.length(_without(F.col("text"), "!?"))).alias("marks"), (chars - F.length(_without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("capitals"),
@@ -75,7 +84,7 @@ def base_counts(df: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     shares = [share("n_symbols", "chars"), share("marks", "chars"), share("capitals", "chars"), share("n_dup_lines", "lines"), share("n_repeat_words", "n_words"), share("word_chars", "n_words")]
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return counts.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *(s.alias(r) for s, r in zip(shares, RULES, strict=True)))
+    return counts.select("doc_id", "stratum", "twin", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *(s.alias(r) for s, r in zip(shares, RULES, strict=True)))
 
 
 def _log_factorial(x: str) -> str:
@@ -95,33 +104,37 @@ def binomial_tail_sql(n: str, k: str, p: str) -> str:
 
 
 def cutoffs(counts: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", risk: float = RISK, fail: float = FAIL) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest certified cutoff of each rule and stratum. MOST_STRATA times the rules at most."""
+    """(stratum, limits): for each stratum that certifies a level, its cutoffs by rule. One row a stratum."""
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("good")).dropna().groupBy("doc_id").agg(F.min("good").alias("good")).where("good in (0, 1)")
-    rows = counts.where(~F.col("base_failed")).select("doc_id", F.coalesce("stratum", F.lit("")).alias("stratum"), F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "x"))
-    rows = written(rows.join(known, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
-    large = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "stratum").limit(MOST_STRATA).select("stratum")
-    rows = rows.join(F.broadcast(large), "stratum")
-    parts = F.array(*[F.lit(i / CUTOFFS) for i in range(CUTOFFS)])
-    grid = rows.where("half = 0 AND good = 0").groupBy("stratum", "rule").agg(F.array_sort(F.array_distinct(F.percentile_approx("x", parts, F.lit(10_000)))).alias("grid"))
-    tests = F.lit(len(RULES)) * F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy("rule")))
-    good = rows.where("half = 1 AND good = 1").join(F.broadcast(grid), ["stratum", "rule"]).groupBy("stratum", "rule", "grid", F.expr("size(filter(grid, g -> x > g))").alias("beyond")).agg(F.count(F.lit(1)).alias("n"))
-    seen = good.groupBy("stratum", "rule", "grid").agg(F.sum("n").alias("n"), F.collect_list(F.struct("beyond", "n")).alias("by")).withColumn("level", F.lit(fail) / tests)
-    tried = seen.select("stratum", "rule", "level", F.col("n").cast("double").alias("n"), "by", F.posexplode("grid").alias("j", "cutoff"))
-    tried = tried.withColumn("k", F.expr("CAST(aggregate(filter(by, b -> b.beyond > j), 0L, (a, b) -> a + b.n) AS DOUBLE)"))
-    tried = tried.withColumn("p", F.expr(binomial_tail_sql("n", "k", f"{risk / len(RULES)!r}D")))
-    milder = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
-    return tried.withColumn("ok", F.min(F.col("p") <= F.col("level")).over(milder)).where("ok").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    rows = counts.where(~F.col("base_failed")).join(known, "doc_id").groupBy("stratum", "twin").agg(F.min("good").alias("good"), *[F.first(r).alias(r) for r in RULES])
+    rows = written(rows.withColumn("half", F.pmod(F.xxhash64("twin", F.lit("half")), F.lit(2))))
+    parts = F.array(*[F.lit(1 - STEP * (m + 1)) for m in range(LEVELS)])
+    grid = rows.where("half = 0 AND good = 1").groupBy("stratum").agg(*[F.percentile_approx(r, parts, F.lit(10_000)).alias("grid_" + r) for r in RULES])
+    grid = grid.withColumnRenamed("stratum", "of")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    middle = LEVELS // 2
+    beyond = [F.avg((F.col(r) > F.col("grid_" + r)[middle]).cast("double")) >= USEFUL * STEP * (middle + 1) for r in RULES]
+    useful = rows.where("half = 0 AND good = 0").join(grid, same("stratum", "of")).groupBy("stratum").agg(*[b.alias("use_" + r) for r, b in zip(RULES, beyond, strict=True)])
+    sets = written(grid.join(useful, same("of", "stratum")).drop("stratum"))
+    level = F.least(*[F.when(F.col("use_" + r), F.expr(f"size(filter(grid_{r}, g -> {r} <= g))")).otherwise(LEVELS) for r in RULES])
+    hit = rows.where("half = 1 AND good = 1").join(sets, same("stratum", "of")).groupBy("of", level.alias("level")).agg(F.count(F.lit(1)).alias("k"))
+    tests = sets.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("tests"))
+    seen = hit.groupBy("of").agg(F.sum("k").cast("double").alias("n"), F.collect_list(F.struct("level", "k")).alias("by")).crossJoin(tests)  # one row
+    tried = seen.select("of", "n", "tests", "by", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("m"))
+    tried = tried.withColumn("k", F.expr("CAST(aggregate(filter(by, b -> b.level <= m), 0L, (a, b) -> a + b.k) AS DOUBLE)"))
+    tried = tried.withColumn("ok", F.expr(binomial_tail_sql("n", "k", f"{risk!r}D")) <= F.lit(fail) / F.col("tests"))
+    milder = Window.partitionBy("of").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+    best = tried.withColumn("ok", F.min("ok").over(milder)).where("ok").groupBy("of").agg(F.max("m").alias("m")).withColumnRenamed("of", "stratum")
+    limits = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.when(F.col("use_" + r), F.col("grid_" + r)[F.col("m")]) for r in RULES]))
+    return best.join(sets, same("stratum", "of")).select("stratum", limits.alias("limits"))
 
 
 def verdicts(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str | None = "lang") -> DataFrame:
     """doc_id, the base counts, base_failed and kept."""
     counts = written(base_counts(df, key, text, stratum))
-    limits = cutoffs(counts, labels, key).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
-    joined = counts.withColumn("stratum", F.coalesce("stratum", F.lit(""))).join(F.broadcast(limits), "stratum", "left")
-    beyond = [F.coalesce(F.col(r) > F.col("limits")[r], F.lit(False)) for r in RULES]
-    bad = beyond[0]
-    for b in beyond[1:]:
-        bad = bad | b
+    limits = cutoffs(counts, labels, key).withColumnRenamed("stratum", "of")
+    joined = counts.join(limits, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    bad = reduce(lambda a, b: a | b, [F.coalesce(F.col(r) > F.col("limits")[r], F.lit(False)) for r in RULES])
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
 
 
