@@ -171,10 +171,12 @@ def test_repeats_when_the_bitmap_is_full(docs, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.drop_repeats(docs).collect()} == removed(TEXTS)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination(spark, docs, block_bytes):
+@pytest.mark.parametrize("most_bits", [1 << 29, 1])
+def test_decontamination(spark, docs, most_bits, monkeypatch):
+    from tidemark.llm import decontaminate as module
     from tidemark.llm.decontaminate import decontaminate
 
+    monkeypatch.setattr(module, "MOST_BITS", most_bits)
     rng = random.Random(9)
     items = [(i, " ".join(ALNUM.findall(t)[5 : 5 + rng.randint(8, 40)])) for i, t in enumerate(TEXTS.values()) if i % 6 == 0] + [(900, "one TWO"), (901, "one"), (902, None), (None, "one two"), (903, "!!"), (1, "one"), (1, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -192,11 +194,20 @@ def test_decontamination(spark, docs, block_bytes):
                     hit |= set(range(s, s + n))
                     own |= found
         want[k] = (str(len(w)), len(hit), sorted(own), bool(hit))
-    got = {r["doc_id"]: (str(r["n_words"]), r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate(docs, bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: (str(r["n_words"]), r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate(docs, bench).collect()}
     assert got == want
     assert sum(w[3] for w in want.values()) > 10
 
 
+def test_decontamination_of_repeats_and_null_keys(spark):
+    from tidemark.llm.decontaminate import decontaminate
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, passage, 7), (1, passage, 7), (None, passage, 7), (None, None, 7), (2, f"{passage} {passage}", 7), (3, "p1 p2 p3", 7)]
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string, n_hit int"), spark.createDataFrame([("a", passage), ("b", passage)], "item_id string, text string"))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items"]) for r in got.collect()) == sorted([("1", 30, 30, 2, ["a", "b"])] * 2 + [("None", 30, 30, 2, ["a", "b"]), ("None", 0, 0, 0, []), ("2", 60, 60, 2, ["a", "b"]), ("3", 3, 0, 0, [])])
+
+
 def test_bpe(docs):
     from tidemark.llm.bpe import encode_and_decode
 

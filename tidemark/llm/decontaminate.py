@@ -1,182 +1,154 @@
 """Benchmark passages in documents: a prefix-filtered set join with exact verification.
 
-The sets are the shingles of item windows. A document can only hold a window if it
-holds all its shingles, so one is enough as the necessary prefix: the rarest one,
-by counts over all documents. Documents are joined to the prefixes only. Where a
-prefix matches, its place in the window says where the window would start; it must
-lie within the document (length and positional bounds), and then the words are
-compared. The benchmark is joined in blocks of BLOCK_BYTES, so that what is
-broadcast is bounded; more blocks make more steps of the same pass over documents.
-
-Defined results: null, empty and wordless texts have no words and no hits; items
-without words or id match nothing; items with one id count once; repeated rows each
-give a row; empty tables give no rows, or no hits; other columns pass through.
+The sets are the shingles of item windows. A document can only hold a window if it holds
+all its shingles, so one is enough as the necessary prefix. The steps:
+
+1.  The benchmark becomes a table of distinct windows with their shingles.
+2.  One pass over the documents counts those shingles (summed in each task first); a
+    window's prefix is its rarest shingle. A window whose rarest is nowhere cannot occur.
+3.  A second pass reports the places of prefixes, with the words around. They are joined
+    to the prefixes. A prefix's place in its window says where the window would start: it
+    must lie within the document (length and positional bounds), and then its words are
+    compared.
+4.  The spans of hit words are counted for each document, and its items listed.
+
+Both passes are two for a benchmark of any size. What is broadcast are bitmaps over
+shingles and over documents with hits, of MOST_BITS at most: a full one only lets more
+rows through to the joins.
+
+Defined results: null, empty and wordless texts have no words and no hits; items without
+words or id match nothing; items with one id count once; repeated rows each give a row;
+a null key is kept; empty tables give no rows, or no hits; other columns pass, but for
+columns named n_words, n_hit, n_items, items or contaminated, which the results replace.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import text_bytes
+from tidemark.llm.bitmap import bitmap, in_bitmap
+from tidemark.llm.shared import written
 from tidemark.llm.words import NOT_ALNUM, Words, chunks, words
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 8 << 20
+MOST_BITS = 1 << 29
 
 
-@dataclass
-class Windows:
-    """Distinct windows of a block of items. Window i has length[i] words, hash code[i], and belongs to items[i]."""
+def _parsed(raw: list[bytes]) -> Words:
+    return words(raw, NOT_ALNUM, fold=True)
 
-    length: np.ndarray
-    code: np.ndarray
-    words: list[list[bytes]]
-    items: list[list[str]]
-    #: per shingle size: sorted shingle codes of the block, and per window the numbers of its shingles, by place
-    shingles: dict[int, np.ndarray]
-    places: list[np.ndarray]
 
+def _own(w: Words, a: int, b: int) -> str:
+    return b" ".join([w.text(i) for i in range(a, b)]).lower().decode()
 
-def _parsed(raw: list[bytes]) -> Words:
-    return words(raw, NOT_ALNUM, fold=True)
 
+def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(item, words, n, codes) of (item, text): each window's words joined by a space, and its shingles' codes by place."""
 
-def _own(w: Words, at: int, n: int) -> list[bytes]:
-    return [w.text(i).lower() for i in range(at, at + n)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunks(batches):
+            w, names = _parsed(raw), batch.column("item").to_pylist()
+            codes = {k: w.windows(k)[0].view(np.int64) for k in range(1, shingle + 1)}
+            for item, a, b in zip(names, w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                n = min(window, b - a)
+                k = min(shingle, n)
+                at = range(a, b - n + 1) if n else ()
+                if at:
+                    yield pa.record_batch([pa.array([item] * len(at)), pa.array([_own(w, i, i + n) for i in at]), pa.array([n] * len(at), pa.int32()), pa.array([codes[k][i : i + n - k + 1].tolist() for i in at], pa.list_(pa.int64()))], ["item", "words", "n", "codes"])
 
+    return items.mapInArrow(run, "item string, words string, n int, codes array<long>")
 
-def item_windows(items: list[tuple[str, str]], window: int = WINDOW, shingle: int = SHINGLE) -> Windows:
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        own = [x.lower() for x in (lambda w: [w.text(i) for i in range(len(w.code))])(_parsed([text.encode()]))]
-        for at in range(max(1, len(own) - window + 1) if own else 0):
-            found.setdefault(tuple(own[at : at + window]), set()).add(item)
-    keys = list(found)
-    length, code, per = np.array([len(k) for k in keys], np.int64), np.zeros(len(keys), np.uint64), []
-    for i, key in enumerate(keys):
-        w = _parsed([b" ".join(key)])
-        code[i] = w.windows(len(key))[0][0]
-        k = min(shingle, len(key))
-        per.append(w.windows(k)[0][: len(key) - k + 1])
-    sizes = np.minimum(length, shingle)
-    shingles = {k: np.unique(np.concatenate([p for p, s in zip(per, sizes, strict=True) if s == k])) for k in np.unique(sizes).tolist()}
-    places = [np.searchsorted(shingles[int(s)], p) for p, s in zip(per, sizes, strict=True)]
-    return Windows(length, code, [list(k) for k in keys], [sorted(found[k]) for k in keys], shingles, places)
 
+def _bits(keys: DataFrame, column: str):
+    """A broadcast bitmap over the distinct values of column."""
+    keys = keys.select(column).distinct()
+    return keys.sparkSession.sparkContext.broadcast(bitmap(keys, column, 64 * keys.count(), MOST_BITS))
 
-def shingle_counts(docs: DataFrame, text: str, win: Windows) -> dict[int, np.ndarray]:
-    """How often the documents have each shingle of the block. The driver gets a number for each shingle of a block at most."""
-    known = docs.sparkSession.sparkContext.broadcast(win.shingles)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(len(v), np.int64) for k, v in known.value.items()}
-        for _, raw in chunks(batches, text):
-            w = _parsed(raw)
-            for k, codes in known.value.items():
-                at, found = _look(codes, *w.windows(k))
-                np.add.at(total[k], at[found], 1)
-        for k, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([k] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["k", "i", "n"])
-
-    out = {k: np.zeros(len(v), np.int64) for k, v in win.shingles.items()}
-    for r in docs.select(text).mapInArrow(run, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():
-        out[r["k"]][r["i"]] = r["n"]
-    return out
-
-
-def _look(codes: np.ndarray, own: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-    return at, (codes[at] == own) & inside
-
-
-@dataclass
-class Prefixes:
-    """Per shingle size: codes of necessary prefixes, and for prefix i the entries begin[i]:begin[i + 1] of window and place."""
-
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    win: Windows
-
-
-def prefixes(win: Windows, counts: dict[int, np.ndarray], shingle: int = SHINGLE) -> Prefixes:
-    tables = {}
-    for k, codes in win.shingles.items():
-        own = np.flatnonzero(np.minimum(win.length, shingle) == k)
-        place = np.array([int(np.argmin(counts[k][win.places[i]])) for i in own], np.int64)
-        number = np.array([win.places[i][p] for i, p in zip(own, place, strict=True)], np.int64)
-        order = np.argsort(number, kind="stable")
-        used, begin = np.unique(number[order], return_index=True)
-        tables[k] = (codes[used], np.append(begin, len(order)), own[order], place[order])
-    return Prefixes(tables, win)
-
-
-def matches(w: Words, pre: Prefixes) -> tuple[np.ndarray, np.ndarray]:
-    """Word at which each occurring window starts, and the window's number."""
-    starts, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    doc, full = w.doc, {}
-    for k, (codes, begin, window, place) in pre.tables.items():
-        at, found = _look(codes, *w.windows(k))
-        pos = np.flatnonzero(found)
-        n = (begin[1:] - begin[:-1])[at[pos]]
-        entry = np.repeat(begin[at[pos]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        number, start, home = window[entry], np.repeat(pos, n) - place[entry], np.repeat(doc[pos], n)
-        length = pre.win.length[number]
-        fits = (start >= w.first[home]) & (start + length <= w.first[home + 1])
-        number, start, length = number[fits], start[fits], length[fits]
-        for size in np.unique(length).tolist():
-            own = full.setdefault(size, w.windows(size)[0])
-            some = np.flatnonzero(length == size)
-            some = some[own[start[some]] == pre.win.code[number[some]]]
-            some = [i for i in some.tolist() if _own(w, int(start[i]), size) == pre.win.words[number[i]]]
-            starts.append(start[some])
-            which.append(number[some])
-    return np.concatenate(starts), np.concatenate(which)
-
-
-def _probe(df: DataFrame, text: str, pre: Prefixes) -> DataFrame:
-    """df with hits (spans of hit words) and items that this block adds."""
-    shared = df.sparkSession.sparkContext.broadcast(pre)
-    schema = T.StructType([f for f in df.schema if f.name not in ("_spans", "_items", "n_words")]).add("n_words", "long").add("_spans", T.ArrayType(T.LongType())).add("_items", T.ArrayType(T.StringType()))
+def shingle_counts(docs: DataFrame, bits, sizes: list[int]) -> DataFrame:
+    """(code, seen): how often the documents have each shingle of the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in chunks(batches, text):
+        for _, raw in chunks(batches):
             w = _parsed(raw)
-            start, number = matches(w, shared.value)
-            length = shared.value.win.length[number]
-            home = np.searchsorted(w.first, start, "right") - 1
-            spans, items = batch.column("_spans").to_pylist(), [set(x) for x in batch.column("_items").to_pylist()]
-            for d, s, n, i in zip(home.tolist(), (start - w.first[home]).tolist(), length.tolist(), number.tolist(), strict=True):
-                spans[d] += [s, s + n]
-                items[d].update(shared.value.win.items[i])
-            new = {"n_words": pa.array(np.diff(w.first), pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-            yield pa.record_batch([new.get(f.name, None) if f.name in new else batch.column(f.name) for f in schema], [f.name for f in schema])
+            for k in sizes:
+                code, inside = w.windows(k)
+                code = code.view(np.int64)
+                code, n = np.unique(code[inside & in_bitmap(bits.value, code)], return_counts=True)
+                yield pa.record_batch([pa.array(code), pa.array(n)], ["code", "seen"])
+
+    return docs.select("text").mapInArrow(run, "code long, seen long").groupBy("code").agg(F.sum("seen").alias("seen"))
 
-    return df.mapInArrow(run, schema)
 
+def prefix_places(docs: DataFrame, bits, sizes: list[int], window: int) -> DataFrame:
+    """(row, code, at, before, around): each place of a prefix, the words around it, and how many of them come before."""
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunks(batches):
+            w, row = _parsed(raw), np.asarray(batch.column("row"))
+            doc = w.doc
+            for k in sizes:
+                code, inside = w.windows(k)
+                code = code.view(np.int64)
+                pos = np.flatnonzero(inside & in_bitmap(bits.value, code))
+                home = doc[pos]
+                a, b = np.maximum(pos - window + k, w.first[home]), np.minimum(pos + window, w.first[home + 1])
+                around = [_own(w, x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(row[home]), pa.array(code[pos]), pa.array((pos - w.first[home]).astype(np.int32)), pa.array((pos - a).astype(np.int32)), pa.array(around, pa.string())], ["row", "code", "at", "before", "around"])
+
+    return docs.mapInArrow(run, "row long, code long, at int, before int, around string")
+
+
+def found_windows(docs: DataFrame, windows: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(row, start, n, words): every place where a document (row, text) has a window's words."""
+    sizes = sorted(r["k"] for r in windows.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect())  # shingle values at most
+    distinct = written(windows.select("words", "n", "codes").distinct())
+    shingles = distinct.select("words", "n", F.posexplode("codes").alias("place", "code"))
+    counts = shingle_counts(docs, _bits(shingles, "code"), sizes)
+    rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "place", "code")).alias("p")
+    prefixes = written(shingles.join(counts, "code", "left").groupBy("words", "n").agg(rarest).where("p.seen > 0").select("words", "n", "p.place", "p.code"))
+    places = prefix_places(docs, _bits(prefixes, "code"), sizes, window).join(prefixes, "code").where("before >= place")
+    own = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("place") + 1, F.col("n")), " ")
+    return places.where(own == F.col("words")).select("row", (F.col("at") - F.col("place")).alias("start"), "n", "words").distinct()
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """df with n_words, n_hit, n_items, items (sorted as strings) and contaminated."""
-    clash = {"n_words", "n_hit", "n_items", "items", "contaminated", "_spans", "_items"} & set(df.columns)
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).dropna().distinct()
-    blocks = max(1, -(-text_bytes(items) // block_bytes))
-    docs = df.drop(*clash)
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        win = item_windows([(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()], window)  # block_bytes or so
-        out = _probe(out, text, prefixes(win, shingle_counts(docs, text, win)))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), (F.size("_spans") / 2 - 1).cast("int")), lambda i: F.sequence(F.get("_spans", 2 * i), F.get("_spans", 2 * i + 1) - 1)))))
-    return out.withColumns(
-        {"n_hit": F.when(F.size("_spans") > 0, covered).otherwise(0).cast("long"), "n_items": F.size("_items").cast("long"), "items": F.array_sort("_items")}
-    ).withColumn("contaminated", F.col("n_hit") > 0).drop("_spans", "_items")
+    df = df.drop("n_words", "n_hit", "n_items", "items", "contaminated", "_row")
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
+    windows = written(item_windows(items, window, shingle).distinct())
+    marked = df.withColumn("_row", F.xxhash64(*df.columns))  # equal rows fare alike
+    hits = written(found_windows(marked.select(F.col("_row").alias("row"), F.col(text).cast("string").alias("text")), windows, window, shingle))
+    # spans in order; each adds the words beyond the end of those before
+    covered = F.expr("aggregate(array_sort(collect_set(struct(start, start + n AS stop))), struct(0 AS stop, 0L AS n), (a, s) -> struct(greatest(a.stop, s.stop) AS stop, a.n + greatest(0, s.stop - greatest(a.stop, s.start)) AS n), a -> a.n)")
+    spans = hits.groupBy("row").agg(covered.alias("n_hit"))
+    named = hits.select("row", "words").distinct().join(windows.select("words", "item").distinct(), "words").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = written(spans.join(named, "row").withColumnRenamed("row", "_row"))
+    bits = _bits(found, "_row")
+    schema = T.StructType(marked.schema.fields).add("n_words", "long")
+
+    @F.pandas_udf("boolean")
+    def hit(rows: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, rows.to_numpy(np.int64)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in chunks(batches, text):
+            yield pa.record_batch([*batch.columns, pa.array(np.diff(_parsed(raw).first), pa.int64())], schema.names)
+
+    # rows that the bitmap clears stay where they are
+    clear = marked.where(~hit("_row")).mapInArrow(count, schema).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
+    rest = marked.where(hit("_row")).mapInArrow(count, schema).join(found, "_row", "left")
+    rest = rest.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = clear.unionByName(rest).drop("_row")
+    return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
 
 def op6_prefix_decontaminate(spark, sf_dir: str) -> DataFrame:
