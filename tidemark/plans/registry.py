@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidemark.plans import activity, calendar, ingest, lineage, practice, quality, recall, review, search, statistics, summary, text  # noqa: E402, F401
+from tidemark.plans import activity, calendar, ingest, lineage, listing, practice, quality, recall, review, search, statistics, study, summary, text  # noqa: E402, F401
