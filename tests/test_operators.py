@@ -162,3 +162,28 @@ def test_most_specific_and_runs(spark):
     assert sorted((r["section_id"], r["knowledge_id"], r["level"]) for r in P.most_specific(sections, questions).collect()) == [("s1", "a.b.c", 0), ("s2", "a", 1)]
     turns = spark.createDataFrame([("c", 1, "u", "t"), ("c", 2, "u", None), ("c", 3, None, "t"), ("c", 4, None, "t"), ("c", 5, "u", "t")], "g string, n long, role string, text string")
     assert [r["rows"] for r in P.runs(turns, "g", "n", "role").orderBy("run").collect()] == [2, 2, 1]
+
+
+def test_trees_of_any_depth(spark):
+    from tidemark.operators.lineage import breadcrumbs, cyclic_nodes, missing_parents
+
+    chain = [(i, i - 1 if i else None, f"t{i}") for i in range(300)]
+    rows = [*chain, (1000, 1001, "a"), (1001, 1000, "b"), (1002, 1000, "under"), (2000, 2001, "lost"), (2002, 2000, "below")]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, title string")
+    got = {r["id"]: (r["path"], r["depth"], r["root"]) for r in breadcrumbs(spark, nodes).collect()}
+    assert got == {i: (" / ".join(f"t{j}" for j in range(i + 1)), i + 1, 0) for i in range(300)}
+    assert sorted(r["id"] for r in cyclic_nodes(nodes.select("id", "parent_id")).collect()) == [1000, 1001, 1002]
+    assert [r["id"] for r in missing_parents(nodes).collect()] == [2000]
+
+
+def test_activity_filter_rejects_unknown_values(spark):
+    import pytest
+
+    from tidemark.operators.listing import filtered_activities
+
+    df = spark.createDataFrame([("2024-01-02", "read", ["k"]), ("2024-01-03", "review", [])], "date string, activity_type string, idempotency_keys array<string>").withColumn("date", F.col("date").cast("date"))
+    got = filtered_activities(df, "2024-01-02", "read")
+    assert got.columns == ["date", "activity_type"] and got.count() == 1
+    for bad in ({"day": "2024-13-01"}, {"kind": "sleep"}):
+        with pytest.raises(ValueError):
+            filtered_activities(df, **bad)

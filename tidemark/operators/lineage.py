@@ -32,16 +32,36 @@ def alias_closure(edges: DataFrame, known: DataFrame) -> DataFrame:
     return ends.select(F.col("id").alias("legacy_id"), F.when(F.col("cyclic").isNull() & F.col("good"), F.col("to")).alias("canonical_id"))
 
 
+def _climbed(rows: DataFrame, most: int, **add) -> DataFrame:
+    """rows (id, up, ...) with up doubled until it is null or after most hops; add: what a hop adds to columns, from its own (r_) and the upper (s_) row."""
+    hops = 1
+    while hops <= most and not rows.where("up is not null").isEmpty():
+        own, upper = (rows.select(*[F.col(c).alias(p + c) for c in rows.columns]) for p in ("r_", "s_"))
+        met = own.join(upper, F.col("r_up") == F.col("s_id"), "left")
+        on = lambda c: F.when(F.col("r_up").isNull(), F.col("r_" + c)).otherwise(F.expr(add[c]))  # noqa: B023, E731
+        rows = written(met.where("r_up is null OR s_id is not null").select(F.col("r_id").alias("id"), F.when(F.col("r_up").isNotNull(), F.col("s_up")).alias("up"), *[on(c).alias(c) for c in add]))
+        hops *= 2
+    return rows.where("up is null").drop("up")
+
+
 def breadcrumbs(spark, nodes: DataFrame) -> DataFrame:
-    """Path of titles from the root to each node, its depth and its root. nodes: (id, parent_id, title); a cycle has no root and no path."""
-    view = "tidemark_nodes"
-    nodes.createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE down(id, path, depth, root) AS (
-          SELECT id, CAST(title AS STRING), 1, id FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, concat(d.path, ' / ', n.title), d.depth + 1, d.root FROM {view} n JOIN down d ON n.parent_id = d.id)
-        SELECT id, path, depth, root FROM down""")
+    """Path of titles from the root to each node, its depth and its root. nodes: (id, parent_id, title), ids unique.
+
+    Hops double each round, so that a tree of depth d takes log2(d) joins. Nodes under a cycle or a missing parent have no
+    root and no row; they are left out before paths are put together.
+    """
+    nodes = written(nodes.select("id", "parent_id", F.col("title").cast("string").alias("title")))
+    most = nodes.count()
+    rooted = _climbed(nodes.select("id", F.col("parent_id").alias("up")), most)
+    start = nodes.join(rooted, "id").select("id", F.col("parent_id").alias("up"), F.col("title").alias("path"), F.lit(1).alias("depth"), F.col("id").alias("root"))
+    return _climbed(written(start), most, path="concat(s_path, ' / ', r_path)", depth="r_depth + s_depth", root="s_root")
+
+
+def cyclic_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose parents never end, those of a missing parent aside. nodes: (id, parent_id)."""
+    known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    up = nodes.join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
+    return nodes.select("id").join(_climbed(written(up), nodes.count()), "id", "left_anti")
 
 
 def missing_parents(nodes: DataFrame) -> DataFrame:
