@@ -44,7 +44,7 @@ from tidemark.llm.words import Words, chunks, mix, release, words
 WINDOW = 50
 PHRASE = 8
 SEGMENT = 128
-SHARD_BYTES = 3 << 18
+SHARD_BYTES = 3 << 17
 TASK_BYTES = 32 << 20
 MOST_BITS = 1 << 29
 _LAST = (1 << 63) - 1
