@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.pieces import Pieces, Pretokens
 from tidemark.llm.shared import texts
-from tidemark.llm.words import chunks
+from tidemark.llm.words import chunks, release
 
 VOCABULARY = "byte_bpe_50k.json"
 #: text of one batch of merges
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 19
 #: pieces that a worker remembers from batch to batch
 MOST_PIECES = 120_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -137,6 +137,7 @@ class PairIndexBpe:
 @lru_cache(maxsize=2)
 def _kept(path: str) -> tuple[PairIndexBpe, Pieces]:
     bpe = PairIndexBpe(path)
+    release()  # what reading the vocabulary took
     return bpe, Pieces(bpe.pretokens.row, bpe.pretokens.alone, MOST_PIECES)
 
 
