@@ -133,7 +133,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     named = hits.select("row", "words").distinct().join(windows.select("words", "item").distinct(), "words").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = written(spans.join(named, "row").withColumnRenamed("row", "_row"))
     bits = _bits(found, "_row")
-    schema = T.StructType(marked.schema.fields).add("n_words", "long")
+    schema = T.StructType([*marked.schema.fields, T.StructField("n_words", T.LongType())])
 
     @F.pandas_udf("boolean")
     def hit(rows: pd.Series) -> pd.Series:
@@ -143,9 +143,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         for batch, raw in chunks(batches, text):
             yield pa.record_batch([*batch.columns, pa.array(np.diff(_parsed(raw).first), pa.int64())], schema.names)
 
-    # rows that the bitmap clears stay where they are
-    clear = marked.where(~hit("_row")).mapInArrow(count, schema).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
-    rest = marked.where(hit("_row")).mapInArrow(count, schema).join(found, "_row", "left")
+    def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count(b.filter(pa.array(~in_bitmap(bits.value, np.asarray(b.column("_row"))))) for b in batches)
+
+    # rows that the bitmap clears stay where they are; each step in Python has a task of its own, as every further one in a task is a worker more
+    clear = marked.mapInArrow(cleared, schema).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
+    rest = marked.where(hit("_row")).repartition("_row").mapInArrow(count, schema).join(found, "_row", "left")
     rest = rest.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     out = clear.unionByName(rest).drop("_row")
     return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})

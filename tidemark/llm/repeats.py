@@ -147,7 +147,8 @@ def segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 rows += [(k, s["segment"], n.text(a + s["lo"], min(b, a + s["hi"]))) for s in spans]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "segment", "passage"])
 
-    some = docs.select("doc_id", "text").mapInArrow(owners, "doc_id long, text string")
+    # dealt anew, as two steps in Python in one task would be two workers
+    some = docs.select("doc_id", "text").mapInArrow(owners, "doc_id long, text string").repartition("doc_id")
     return some.join(per_doc, "doc_id").mapInArrow(cut, "doc_id long, segment int, passage binary").distinct()
 
 
@@ -266,7 +267,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", shards:
     asked = units.select("unit", "shard", F.col("doc_id").alias("asker")).join(owned, "unit").where("asker > doc_id")
     asked = written(asked.groupBy("shard", "doc_id", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     sent = asked.join(segments(docs, asked), ["doc_id", "segment"]).select(F.col("shard").alias("_shard"), F.col("doc_id").alias("owner"), "passage")
-    schema = T.StructType(df.schema.fields).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
+    schema = T.StructType([*df.schema.fields]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
 
     def run(rows: pa.Table, passages: pa.Table) -> pa.Table:
         raw = [x or b"" for x in rows.column(text).cast(pa.large_binary()).to_pylist()]
