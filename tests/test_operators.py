@@ -187,3 +187,25 @@ def test_activity_filter_rejects_unknown_values(spark):
     for bad in ({"day": "2024-13-01"}, {"kind": "sleep"}):
         with pytest.raises(ValueError):
             filtered_activities(df, **bad)
+
+
+def test_pages_stream_and_places_by_ranges(spark):
+    from tidemark.operators import documents as D
+    from tidemark.operators import summary as S
+
+    data = [(g, i, (i * 37 + len(g)) % 900 + (6000 if i == 50 else 0)) for g in ("a", "bb") for i in range(200)]
+    rows = spark.createDataFrame(data, "g string, i int, n int")
+    want = []
+    for g in ("a", "bb"):
+        page, used = 1, 0
+        for _, i, n in (r for r in data if r[0] == g):
+            if used and used + n + 80 > 5000:
+                page, used = page + 1, 0
+            used += n + 80
+            want.append((g, i, page))
+    assert sorted((r["g"], r["i"], r["page"]) for r in D.pages(rows, "g", "i", "n", 5000).collect()) == want
+    assert D.pages(rows.limit(0), "g", "i", "n", 5000).count() == 0
+    order = (F.desc("n"), F.col("g"), F.col("i"))
+    got = [(r["g"], r["i"]) for r in S.numbered(rows, "place", *order).orderBy("place").collect()]
+    assert got == [(g, i) for g, i, _ in sorted(data, key=lambda r: (-r[2], r[0], r[1]))]
+    assert [r["place"] for r in S.page(rows, 999, 30, *order).orderBy("place").collect()] == list(range(391, 401))

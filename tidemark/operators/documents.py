@@ -57,15 +57,33 @@ def chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
 
 
 def pages(rows: DataFrame, group: str, order: str, size: str, most: int, overhead: int = 80) -> DataFrame:
-    """Page of each row: rows fill a page in order until the next would pass most; a larger row has a page of its own."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        page, used, out = 0, 0, []
-        for n in pdf.sort_values(order)[size] + overhead:
-            if used and used + n > most:
-                page, used = page + 1, 0
-            used += n
-            out.append(page + 1)
-        return pdf.sort_values(order).assign(page=out)
-
-    return rows.select(group, order, size).groupBy(group).applyInPandas(fill, rows.select(group, order, size).withColumn("page", F.lit(1)).schema)
+    """Page of each row: rows fill a page in order until the next would pass most; a larger row has a page of its own.
+
+    A group is streamed in sorted batches with the page and its fill as the only state, so that its size is not bound by memory.
+    """
+    rows = rows.select(group, order, size)
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, page, used = object(), 1, 0
+        for batch in batches:
+            out = []
+            for g, n in zip(batch[group], batch[size] + overhead, strict=True):
+                if g != last:
+                    last, page, used = g, 1, 0
+                if used and used + n > most:
+                    page, used = page + 1, 0
+                used += n
+                out.append(page)
+            yield batch.assign(page=out)
+
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(fill, rows.withColumn("page", F.lit(1)).schema)
+
+
+def set_hash(rows: DataFrame, group: str, order: str, text: str, width: int = 1 << 12) -> DataFrame:
+    """(group, set_sha256): of the texts in order. Ranges of width orders are hashed first, then ranges of ranges, then these, so that no task holds a group."""
+    part = lambda: F.concat_ws(":", F.col("at").cast("string"), "h")
+    own = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", part().alias("p")))), lambda x: x["p"]), ";"), 256)
+    out = rows.select(group, F.col(order).cast("long").alias("at"), F.sha2(F.col(text), 256).alias("h"))
+    for _ in range(2):
+        out = out.groupBy(group, F.floor(F.col("at") / width).alias("range")).agg(own().alias("h")).withColumnRenamed("range", "at")
+    return out.groupBy(group).agg(own().alias("set_sha256"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.activity import bucket, seconds
+from tidemark.sources.shared import written
 
 
 def insights(facts: DataFrame) -> DataFrame:
@@ -44,18 +45,26 @@ def trimmed(rows: DataFrame, group: str, order: str, first: Column) -> DataFrame
 
 
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """Rows of one page from 1 on; the last page for a number beyond it. The order must be total."""
-    n = F.row_number().over(Window.orderBy(*order))
-    last = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / size))
-    at = F.least(F.lit(max(1, number)), last)
-    return rows.withColumn("place", n).withColumn("page", at.cast("int")).where((F.col("place") > (F.col("page") - 1) * size) & (F.col("place") <= F.col("page") * size))
+    """Rows of one page from 1 on; the last page for a number beyond it. The order must be total. Tasks keep their first rows only."""
+    at = min(max(1, number), max(1, -(-rows.count() // size)))
+    own = rows.orderBy(*order).offset((at - 1) * size).limit(size)
+    return own.withColumn("place", F.row_number().over(Window.orderBy(*order)) + (at - 1) * size).withColumn("page", F.lit(at))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their place from 1 on in a total order: by ranges, each numbered in a task of its own, and the sizes of the ranges before."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
 
 
 def shelf(items: DataFrame, recents: DataFrame, key: str, default: str) -> DataFrame:
     """Items that were used last come first, the rest in their default order. recents: (key, ord), the largest last used."""
     last = recents.groupBy(key).agg(F.max("ord").alias("used"))
     rows = items.join(last, key, "left")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("used"), default, key))).drop("used")
+    return numbered(rows, "place", F.desc_nulls_last("used"), F.col(default), F.col(key)).drop("used")
 
 
 def month_labels(weeks: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def page_slice(spark, sf_dir):
 SELECT resource_id, c_name, CAST(row_number() OVER (ORDER BY used DESC NULLS LAST, c_name, resource_id) AS INT) AS place FROM i LEFT JOIN u USING (resource_id)""")
 def recent_shelf(spark, sf_dir):
     items = table(spark, sf_dir, "customer").select(F.concat(F.lit("res-"), "c_custkey").alias("resource_id"), "c_name")
-    return S.shelf(items, activities(spark, sf_dir).where("activity_type = 'read'").select("resource_id", "ord"), "resource_id", "c_name")
+    return S.shelf(items, activities(spark, sf_dir).where("activity_type = 'read'").select("resource_id", "ord"), "resource_id", "c_name").withColumn("place", F.col("place").cast("int"))
 
 
 @query("""WITH w AS (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS w FROM orders), l AS (SELECT w, lag(month(w)) OVER (ORDER BY w) AS before FROM w)

@@ -29,11 +29,10 @@ def content_hash_verify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), (F.length("text") == F.col("n_chars")).alias("whole"))
 
 
-@query("SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), ';' ORDER BY doc_id)) AS set_sha256 FROM documents GROUP BY 1")
+@query("""WITH a AS (SELECT source, doc_id AS k, sha256(text) AS h FROM documents), b AS (SELECT source, k // 4096 AS r, sha256(string_agg(k || ':' || h, ';' ORDER BY k)) AS h FROM a GROUP BY 1, 2),
+c AS (SELECT source, r // 4096 AS q, sha256(string_agg(r || ':' || h, ';' ORDER BY r)) AS h FROM b GROUP BY 1, 2) SELECT source, sha256(string_agg(q || ':' || h, ';' ORDER BY q)) AS set_sha256 FROM c GROUP BY 1""")
 def page_set_hash(spark, sf_dir):
-    rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h"))))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["h"])), ";"), 256).alias("set_sha256"))
+    return D.set_hash(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query("WITH t AS (SELECT doc_id, unnest(['" + "', '".join(_TERMS) + "']) AS term, lower(text) AS x FROM documents) SELECT term, CAST(sum((length(x) - length(replace(x, term, ''))) // length(term)) AS BIGINT) AS n FROM t GROUP BY 1")
