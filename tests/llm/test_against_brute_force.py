@@ -218,6 +218,34 @@ def test_bpe(docs):
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def mixes(n, seed):
+    """Random texts of words, white space of many scripts and special tokens."""
+    rng = random.Random(seed)
+    parts = ["a", "end.", "x", "word", "don't", "12", "!?", "漢字", "ß", "«", "–", "<", "<|", "endoftext|>", "<|endoftext|>", " ", " ", " ", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\u0085", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\u180e", "\ufeff"]
+    return ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("operator", ["bpe", "idfiles"])
+def test_pieces_of_random_white_space_and_special_tokens(operator):
+    from tidemark.llm import bpe, idfiles
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = mixes(20_000, 11) + ["First document ends here.\n <|endoftext|> Second document starts.", "one line\t <|endoftext|> next", "a \xa0 \xa0 b", "end. \xa0 \xa0\n", "x\n \xa0 \xa0 \xa0 y", "ends ", " <|endoftext|> begins", "<|endoftext|>"]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    if operator == "bpe":
+        own = bpe.PairIndexBpe(path)
+        pieces = bpe.Pieces(own.pretokens.row, own.pretokens.alone, own.special, 10**9)
+    else:
+        pieces = idfiles._kept(path)[0]
+        pieces.clear()
+    numbers, begins = pieces.numbers([t.encode() for t in texts])
+    pieces.learn()
+    ids, at = pieces.ids(numbers, begins)
+    wrong = [(t, w, ids[a:b].tolist()) for t, w, a, b in zip(texts, want, at[:-1], at[1:]) if ids[a:b].tolist() != w]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_id_files(spark, docs, monkeypatch):
     from tidemark.llm import idfiles
     from tidemark.llm.shared import shared_dir

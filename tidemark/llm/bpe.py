@@ -138,7 +138,7 @@ class PairIndexBpe:
 def _kept(path: str) -> tuple[PairIndexBpe, Pieces]:
     bpe = PairIndexBpe(path)
     release()  # what reading the vocabulary took
-    return bpe, Pieces(bpe.pretokens.row, bpe.pretokens.alone, MOST_PIECES)
+    return bpe, Pieces(bpe.pretokens.row, bpe.pretokens.alone, bpe.special, MOST_PIECES)
 
 
 def encode_and_decode(df: DataFrame, path: str | None = None, batch_bytes: int = BATCH_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -111,7 +111,7 @@ def _kept(path: str) -> tuple[Pieces, int]:
     lib.no_truncation()
     lib.no_padding()
     letters = byte_letters()
-    special = {i for i in lib.get_added_tokens_decoder()}
+    special = {i: t.content for i, t in lib.get_added_tokens_decoder().items()}
     size = max(END_ID + 1, 1 + max(lib.get_vocab(with_added_tokens=True).values()))
     octets = np.zeros(size, np.int64)  # of each id
     for token, i in lib.get_vocab(with_added_tokens=True).items():
@@ -120,15 +120,16 @@ def _kept(path: str) -> tuple[Pieces, int]:
     def ids(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def row(raw: bytes, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def row(raw: bytes, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         found = ids([raw.decode()])[0]
-        return found, per_piece(pieces, octets[found])
+        counts = per_piece(pieces, octets[found])
+        return None if counts is None else (found, counts)
 
     def alone(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = ids(pieces)
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
-    return Pieces(row, alone), size
+    return Pieces(row, alone, special.values()), size
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
