@@ -131,15 +131,15 @@ def release() -> None:
         trim(0)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows of about CHUNK_BYTES of text each; a longer text is a chunk of its own. Null counts as empty."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of about so many bytes of text each; a longer text is a chunk of its own. Null counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
         total, at = np.cumsum(size), 0
         while at < len(size):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at), [x or b"" for x in batch.column(column).slice(at, to - at).cast(pa.large_binary()).to_pylist()]
             at = to
     release()
