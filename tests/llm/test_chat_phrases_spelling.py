@@ -263,7 +263,7 @@ def scribbles(seed=8):
         text = "".join(rng.choice(base[:12] if rng.random() < 0.7 else words).title() + rng.choice([" ", "-", "1", "ō", "'"]) for _ in range(rng.randint(0, 60)))
         rows.append((i if i % 9 else None, rng.choice([text, text, text, None, ""])))
     rows += [(500, "q" * 3000 + " "), (501, ("q" * 3000 + " ") * 30), (501, ("q" * 3000 + " ") * 30), (502, ("q" * 3001 + " ") * 6)]
-    rows += [(600, " ".join([w] * k)) for w, k in (("chained", 5), ("chaine", 25), ("chain", 900), ("chainex", 125), ("hainex", 625))]
+    rows += [(600 + i, " ".join([w] * k)) for i, at in enumerate(["linked", "winter", "summer"]) for w, k in ((at, 5), (at + "s", 30), (at + "sy", 200), (at + "syx", 1100))]
     return rows
 
 

@@ -33,7 +33,7 @@ MIN_COUNT = 30
 MAX_N = 4
 TOP = 2000
 #: text whose n-grams are counted together before they leave a task
-COUNT_BYTES = 2 << 20
+COUNT_BYTES = 1 << 19
 MOST_BITS = 1 << 29
 ROWS = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
