@@ -8,7 +8,7 @@ from tidemark.llm.decontaminate import op6_prefix_decontaminate
 from tidemark.llm.html import op10_tag_path_html
 from tidemark.llm.idfiles import op4_ranked_id_files
 from tidemark.llm.jaccard import op9_token_group_jaccard
-from tidemark.llm.oracles import DECONTAMINATION, JACCARD, REPEATS
+from tidemark.llm.oracles import CONVERSATIONS, DECONTAMINATION, JACCARD, PHRASES, REPEATS, SPELLING
 from tidemark.llm.phrases import op12_phrase_collocations
 from tidemark.llm.quality import op5_risk_controlled_quality
 from tidemark.llm.repeats import op2_automata_repeats
@@ -39,4 +39,7 @@ ORACLES = {
     "op2_automata_repeats": REPEATS,
     "op6_prefix_decontaminate": DECONTAMINATION,
     "op9_token_group_jaccard": JACCARD,
+    "op11_template_compiler": CONVERSATIONS,
+    "op12_phrase_collocations": PHRASES,
+    "op13_spelling_variants": SPELLING,
 }
