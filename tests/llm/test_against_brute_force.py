@@ -508,6 +508,39 @@ def test_html(page, text):
     assert content(page or "") == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<body class='page-template has-sidebar'>{}</body>", "<body class='no-nav'>{}</body>", "<body class='navy-theme'>{}</body>", "<div class='no-comments post'>{}</div>", "<article class='post comments-open'>{}</article>",
+        "<div class='post comments-closed'>{}</div>", "<main class='nav-main'>{}</main>", "<div class='banner'>{}</div>", "<div class='navy'>{}</div><div class='nav'><a href=x>Home</a></div>",
+    ],
+)
+def test_html_article_in_a_wrapper_with_a_telling_name(wrapper):
+    from tidemark.llm.html import content
+
+    body = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} of the article, which goes on for a while, and then it ends.</p>" for i in range(6)) + "<p class='footnotes'>1. A note at the foot of it, kept.</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>"
+    want = "Title " + " ".join(f"Paragraph {i} of the article, which goes on for a while, and then it ends." for i in range(6)) + " 1. A note at the foot of it, kept. Let x=1 hold."
+    assert content(wrapper.format(body + "<div class='comments'><p>First!</p></div><nav><a href=x>Next</a></nav>")) == want
+
+
+def test_html_comments_go_even_where_they_hold_most_of_the_text():
+    from tidemark.llm.html import content
+
+    said = "".join(f"<p>Reader {i} says that the story is too short, and goes on about it at length, as ever.</p>" for i in range(40))
+    assert content(f"<div><p>A short article of one paragraph, which says all there is to say, and stops there.</p></div><div class='comments'>{said}</div>") == "A short article of one paragraph, which says all there is to say, and stops there."
+
+
+@pytest.mark.parametrize("page", ["<a " * 60_000, "<!" * 60_000, "<div>" * 20_000, "<div>x" * 20_000, "<svg>" * 40_000, "<textarea>" * 30_000 + "</textarea>", "</p>" * 60_000, "<b>" * 30_000 + "</i>x" * 30_000, "<a title='" * 40_000, '<div class="x"><li>y' * 10_000])
+def test_html_of_any_page_takes_linear_time(page):
+    import time
+
+    from tidemark.llm.html import content
+
+    began = time.process_time()
+    content(page)
+    assert time.process_time() - began < 3
+
+
 _LONG = "A sentence, with marks, goes on. " * 12
 
 
