@@ -86,31 +86,52 @@ def line_offsets(spark, sf_dir):
     return D.lines(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", "line_no", F.col("offset").cast("long").alias("offset"))
 
 
-@query()
+_CUTS = "coalesce(" + ", ".join(f"CASE WHEN contains(late, {m}) THEN length(late) - instr(reverse(late), reverse({m})) + 1 END" for m in ("chr(10) || chr(10)", "chr(10)", "'。'", "'. '", "' '")) + ", 750)"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+r AS (SELECT doc_id, 0 AS part, '' AS chunk, text AS rest FROM d UNION ALL SELECT doc_id, part + 1, left(rest, CAST(cut AS BIGINT)), substring(rest, CAST(cut AS BIGINT) + 1) FROM (SELECT *, CASE WHEN length(rest) > 1500 THEN 750 + {_CUTS} ELSE length(rest) END AS cut FROM (SELECT *, substring(rest, 751, 750) AS late FROM r WHERE part = 0 OR rest <> '')))
+SELECT doc_id, part, max(part) OVER (PARTITION BY doc_id) AS parts, length(chunk) AS n_chars, sha256(chunk) AS sha256 FROM r WHERE part > 0""")
 def text_chunks(spark, sf_dir):
     return D.chunks(_docs(spark, sf_dir), "doc_id", "text", 1500).select("doc_id", "part", "parts", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("sha256"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, n_chars, i, 1 AS page, n_chars + 80 AS used FROM d WHERE i = 1 UNION ALL SELECT d.source, d.doc_id, d.n_chars, d.i, page + CASE WHEN used + d.n_chars + 80 > 5000 THEN 1 ELSE 0 END, CASE WHEN used + d.n_chars + 80 > 5000 THEN 0 ELSE used END + d.n_chars + 80 FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
+SELECT source, doc_id, n_chars, page FROM r""")
 def page_bin_packing(spark, sf_dir):
     return D.pages(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 5000)
 
 
-_TITLES = ("第一章 牙髓根尖周病", "1. 牙周组织解剖与生理", "anesthesia：麻醉", "牙根拔除术（exodontia）", "第十章、牙源性肿瘤和瘤样病变", "过敏 病变")
-_NUMBERS = {"一": 1, "十": 10, "十二": 12, "二十": 20, "九十九": 99, "一百零三": 103, "三百二十": 320}
+_NUMERAL_SQL = """n AS (SELECT p_partkey, p_partkey % 1000 AS n FROM part), d AS (SELECT *, n // 100 AS h, (n % 100) // 10 AS t, n % 10 AS o, '一二三四五六七八九' AS w FROM n),
+t AS (SELECT *, CASE WHEN h > 0 THEN w[h] || '百' || CASE WHEN t = 0 AND o > 0 THEN '零' ELSE '' END ELSE '' END || CASE WHEN t = 0 THEN '' WHEN h = 0 AND t = 1 THEN '十' ELSE w[t] || '十' END || CASE WHEN o > 0 THEN w[o] ELSE '' END || CASE WHEN p_partkey % 37 = 0 THEN '?' ELSE '' END AS numeral FROM d)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n})" for t, n in _NUMBERS.items()) + ") v(numeral, value)")
+@query(f"WITH {_NUMERAL_SQL} SELECT p_partkey, numeral, CASE WHEN n > 0 AND p_partkey % 37 > 0 THEN n END AS value FROM t")
 def chinese_numeral_parse(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _NUMBERS], "numeral string").select("numeral", X.numeral(F.col("numeral")).alias("value"))
-
-
-@query("""SELECT * FROM (VALUES ('第一章 牙髓根尖周病', '牙髓根尖周', '第一章 牙髓根尖周病', ''), ('1. 牙周组织解剖与生理', '牙周组织解剖生理', '1. 牙周组织解剖与生理', ''), ('anesthesia：麻醉', 'anesthesia麻醉', 'anesthesia', '麻醉'),
-('牙根拔除术（exodontia）', '牙根拔除术exodontia', '牙根拔除术（exodontia）', ''), ('第十章、牙源性肿瘤和瘤样病变', '牙源性肿瘤瘤样', '第十章、牙源性肿瘤和瘤样病变', ''), ('过敏 病变', '敏感', '过敏 病变', '')) v(title, bare, term, translation)""")
+    """Numerals of part keys below a thousand, and their values read back."""
+    n = F.col("p_partkey") % 1000
+    h, t, o = F.floor(n / 100), F.floor(n % 100 / 10), n % 10
+    word = lambda d: F.substring(F.lit("一二三四五六七八九"), d.cast("int"), F.lit(1))
+    text = F.concat(
+        F.when(h > 0, F.concat(word(h), F.lit("百"), F.when((t == 0) & (o > 0), "零").otherwise(""))).otherwise(""), F.when(t == 0, "").when((h == 0) & (t == 1), "十").otherwise(F.concat(word(t), F.lit("十"))),
+        F.when(o > 0, word(o)).otherwise(""), F.when(F.col("p_partkey") % 37 == 0, "?").otherwise(""),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("numeral")).withColumn("value", X.numeral(F.col("numeral")).cast("long"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '第十二章、' || source || '与 病变' WHEN 1 THEN doc_id || '. ' || coalesce(text, '') WHEN 2 THEN replace(source, '-', ' ') || '：麻醉' || doc_id WHEN 3 THEN coalesce(text, '') || '过敏' ELSE source || '（' || lang || '）' END AS title FROM documents),
+b AS (SELECT *, replace(regexp_replace(regexp_replace(coalesce(title, ''), '^(?:第[一二三四五六七八九十百\d]+章|\d+)[\s、.．]*', ''), '[\s\x0B·•:：,，。.!！?？()（）\[\]【】/／与及和病变]', '', 'g'), '过敏', '敏感') AS bare, regexp_extract(coalesce(title, ''), '^([A-Za-z][A-Za-z \-'']*)[:：]\s*([\x{3400}-\x{9fff}].*)$', 1) AS latin FROM t)
+SELECT doc_id, sha256(bare) AS bare_sha256, sha256(CASE WHEN latin <> '' THEN trim(latin) ELSE title END) AS term_sha256, regexp_extract(coalesce(title, ''), '^([A-Za-z][A-Za-z \-'']*)[:：]\s*([\x{3400}-\x{9fff}].*)$', 2) AS translation FROM b""")
 def title_normalizer(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in _TITLES], "title string")
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    title = (
+        F.when(d % 5 == 0, F.concat(F.lit("第十二章、"), "source", F.lit("与 病变"))).when(d % 5 == 1, F.concat(d.cast("string"), F.lit(". "), text)).when(d % 5 == 2, F.concat(F.replace("source", F.lit("-"), F.lit(" ")), F.lit("：麻醉"), d.cast("string")))
+        .when(d % 5 == 3, F.concat(text, F.lit("过敏"))).otherwise(F.concat("source", F.lit("（"), "lang", F.lit("）")))
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
     term, translation = X.bilingual(F.col("title"))
-    return rows.select("title", X.bare_title(F.col("title")).alias("bare"), term.alias("term"), translation.alias("translation"))
+    return rows.select("doc_id", F.sha2(X.bare_title(F.col("title")), 256).alias("bare_sha256"), F.sha2(term, 256).alias("term_sha256"), F.coalesce(translation, F.lit("")).alias("translation"))
 
 
 @query("SELECT CAST(e.value AS BIGINT) AS k, count(*) AS n FROM events, json_each(props) e WHERE e.key = 'k' GROUP BY 1")
