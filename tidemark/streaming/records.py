@@ -100,7 +100,8 @@ class _Records(StatefulProcessor):
 def record_stream(beats: DataFrame, close_after_ms: int = KEYS_LIVE_MS) -> DataFrame:
     """A stream of heartbeats as a stream of RECORD and closed, for output mode update. Needs the RocksDB state store.
 
-    A record without heartbeats for so long is given once more, closed, and forgotten with its keys.
+    A record without heartbeats for so long is given once more, closed, and forgotten with its keys. Because of its timers the
+    stream runs on until it is stopped, whatever its trigger.
     """
     return beats.groupBy("day", "activity_id").transformWithStateInPandas(
         statefulProcessor=_Records(close_after_ms), outputStructType=RECORD + ", closed boolean", outputMode="Update", timeMode="ProcessingTime"
