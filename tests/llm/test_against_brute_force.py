@@ -441,8 +441,8 @@ def test_urls(spark):
         "http://q.net/es": ("q.net", "/es", None, None),
         "http://q.com?/": ("q.com", "", None, None),
         "no scheme.com/": ("", "", None, None),
-        "": ("", "", None, None),
-        None: ("", "", None, None),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
     }
     rows = [(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://good{i % 40}.com/a/{i}") for i in range(300)] + [(500 + i, f"http://spam-{i % 40}.net/fr/{i}") for i in range(300)] + [(900, "http://good99.org/a/9"), (901, "http://spam-99.org/fr/9")]
     got = {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -453,13 +453,22 @@ def test_urls(spark):
     assert (got[900]["verdict"], got[901]["verdict"]) == ("allow", "block")
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 16, 40])
-def test_url_differences_are_those_of_the_full_counts(spark, chunk_bytes):
+def test_urls_are_judged_by_query_fragment_and_scheme_too(spark):
+    from tidemark.llm.urls import judge
+
+    rows = [(i, f"http://h{i % 30}.com/a?page={i}") for i in range(200)] + [(500 + i, f"http://h{i % 30}.net/fr/a?click=casino{i}#win") for i in range(200)]
+    rows += [(900, "http://h3.org/a?page=17"), (901, "http://h3.org/a?click=casino17#win"), (902, "casino casino#win"), (903, "http://h3.org/a?page=" + "7" * 200_000)]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[i] for i in (900, 901, 902, 903)] == ["allow", "block", "block", "allow"]
+
+
+@pytest.mark.parametrize(("chunk_bytes", "salt_chunks"), [(1 << 16, 4096), (40, 3)])
+def test_url_differences_are_those_of_the_full_counts(spark, chunk_bytes, salt_chunks):
     from tidemark.llm.urls import MarkovModel, contexts, differences, train
 
     rng = random.Random(3)
     # over 150,000 contexts a verdict, nearly all of them rare
-    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    letters = [chr(c) for c in range(0x4E00, 0x5200)] + list("ab\n")
     labelled = [(i, v, "".join(rng.choices(letters, k=40))) for v in ("allow", "block") for i in range(1000)]
     tables = {"allow": {}, "block": {}}
     for _, v, t in labelled:
@@ -468,7 +477,7 @@ def test_url_differences_are_those_of_the_full_counts(spark, chunk_bytes):
     assert min(map(len, tables.values())) > 150_000
     models = {v: MarkovModel({c: (by.total(), by) for c, by in t.items()}, 1 + len(t[""])) for v, t in tables.items()}
     asked = [(i, t) for i, (_, _, t) in enumerate(labelled[::97])] + [(900, ""), (901, "neu"), (901, "neu")]
-    out = differences(spark.createDataFrame(asked, "page_id long, text string"), *train(spark.createDataFrame(labelled, "page_id long, verdict string, text string")), chunk_bytes=chunk_bytes)
+    out = differences(spark.createDataFrame(asked, "page_id long, text string"), *train(spark.createDataFrame(labelled, "page_id long, verdict string, text string")), chunk_bytes=chunk_bytes, salt_chunks=salt_chunks)
     got = sorted(tuple(r) for r in out.collect())
     want = sorted((i, t, models["allow"].mean_log(t) - models["block"].mean_log(t) if t else 0.0) for i, t in asked)
     assert [r[:2] for r in got] == [r[:2] for r in want]

@@ -7,15 +7,19 @@ so that a context that was never seen falls back to shorter ones. What decides o
 other URLs is the difference of the models' mean log-likelihood per character, against
 the cutoff that parts the held-out URLs best (the mean of the two error rates is least).
 
-All contexts count, however rare: the models are a written table with a row for each
+The models read whole URLs, scheme, query and fragment included; only rules go by host and
+path. All contexts count, however rare: the models are a written table with a row for each
 verdict and context, summed in each task first. URLs are scored in chunks of about
 CHUNK_BYTES, dealt by a hash; a chunk asks the table for its own contexts, each once, so
-that neither the driver nor a task holds a model, and a common context is asked for once
-a chunk.
-
-Defined results: a null URL or one without "://" has an empty host and path, no rule and
-a difference of 0; with URLs of one verdict only, or none, the method allows; repeated
-rows each give a row; an empty table gives none; other columns are ignored.
+that neither the driver nor a task holds a model. The empty context and those of one ASCII
+character, which all chunks ask for, are dealt over a salt for each SALT_CHUNKS chunks.
+
+Defined results: a URL without "://" has an empty host and path and no rule, and is judged
+by its text like any other; a null or empty one has a difference of 0 and is allowed; with
+URLs of one verdict only, or none, the method allows; of cutoffs that part alike the middle
+one is taken, in steps of 20 / BINS between -10 and 10; a URL at the cutoff is allowed;
+repeated rows each give a row; an empty table gives none; other columns are ignored,
+whatever their names. A very long URL is one row of one task, scored in time linear in it.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from tidemark.llm.shared import text_bytes, written
 
 ORDER = 5
 CHUNK_BYTES = 1 << 16
+SALT_CHUNKS = 4096
 BINS = 2000
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,11 +112,20 @@ def _asked(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "context": list(asked)})
 
 
-def differences(df: DataFrame, models: DataFrame, letters: dict[str, int], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _salted(asked: DataFrame, models: DataFrame, salts: int) -> DataFrame:
+    """asked joined with models by context; the 129 contexts that every chunk has are dealt over salts rows each."""
+    common = F.col("context").rlike(r"^\p{ASCII}?\z")
+    ask = asked.withColumn("salt", F.when(common, F.pmod("chunk", F.lit(salts))).otherwise(0))
+    known = models.withColumn("salt", F.explode(F.when(common, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return ask.join(known.withColumn("salt", F.col("salt").cast("long")), ["context", "salt"]).drop("salt")
+
+
+def differences(df: DataFrame, models: DataFrame, letters: dict[str, int], chunk_bytes: int = CHUNK_BYTES, salt_chunks: int = SALT_CHUNKS) -> DataFrame:
     """df with diff: how much likelier the text is per character among allowed URLs. models and letters as train() gives them."""
     chunks = max(1, -(-text_bytes(df) // chunk_bytes))
     rows = written(df.withColumn("chunk", F.pmod(F.xxhash64(*df.columns), F.lit(chunks))))
-    known = rows.select("chunk", "text").groupBy("chunk").applyInPandas(_asked, "chunk long, context string").join(models, "context")
+    asked = rows.select("chunk", "text").groupBy("chunk").applyInPandas(_asked, "chunk long, context string")
+    known = _salted(asked, models, 1 + chunks // salt_chunks).select("chunk", "verdict", "context", "total", "letters", "counts")
     schema = df.withColumn("diff", F.lit(0.0)).schema
 
     def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -140,15 +154,15 @@ def best_cutoff(held: DataFrame) -> float:
 def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict."""
     host, path = host_and_path(F.col(url).cast("string"))
-    rows = df.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("by", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"), F.concat("host", "path").alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("by", longest_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"), "text")
     labelled = rows.where("verdict is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
     models, letters = train(labelled.where("not held"))
     if len(letters) < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     cutoff = best_cutoff(differences(labelled.where("held").select("page_id", "verdict", "text"), models, letters))
     scored = differences(rows.where("verdict is null").drop("verdict"), models, letters)
-    own = F.when(F.col("diff") >= cutoff, "allow").otherwise("block").alias("verdict")
+    own = F.when((F.col("text") == "") | (F.col("diff") >= cutoff), "allow").otherwise("block").alias("verdict")
     return rows.where("verdict is not null").select("page_id", "host", "path", "rule", "verdict").unionByName(scored.select("page_id", "host", "path", "rule", own))
 
 
