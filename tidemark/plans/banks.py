@@ -19,6 +19,7 @@ each AS (SELECT bank, unnest(list_filter([
   CASE WHEN k % 29 = 0 THEN ('E027', 1) END, CASE WHEN k % 29 <> 0 AND k % 5 = 0 THEN ('W016', 1) END, CASE WHEN k % 53 = 0 THEN ('W013', 1) END, CASE WHEN k % 53 <> 0 AND k % 59 = 0 THEN ('E055', 1) END], lambda x: x IS NOT NULL)) AS f FROM good),
 named AS (SELECT DISTINCT bank, k % 60 AS id FROM good WHERE linked),
 others AS (SELECT bank, 'E006' AS code, count(*) AS n FROM q WHERE broken GROUP BY 1 UNION ALL SELECT DISTINCT bank, unnest(['E007', 'E008']), 1 FROM q WHERE broken
+  UNION ALL SELECT bank, 'E014', count(*) - 1 FROM good WHERE k % 97 = 0 GROUP BY 1 HAVING count(*) > 1
   UNION ALL SELECT bank, 'W001', count(*) FROM (SELECT DISTINCT bank FROM q) b, nation WHERE NOT EXISTS (SELECT 1 FROM named WHERE named.bank = b.bank AND id = n_nationkey) GROUP BY 1
   UNION ALL SELECT DISTINCT bank, 'E012', 1 FROM q UNION ALL SELECT DISTINCT bank, 'E033', 1 FROM q),
 found AS (SELECT bank, code, CASE WHEN code[1] = 'E' THEN 'blocker' ELSE 'warning' END AS severity, CAST(sum(n) AS BIGINT) AS n
