@@ -74,7 +74,7 @@ FAULTS = [
     (put("reasons", None), {"E031": 1, "E032": 1}), (put("reasons", [1]), {"E031": 1, "E032": 1}), (put(*R, "reasons", 3), {"E032": 2}), (put(*R, "reasons", 0, "reason", " "), {"E032": 1}), (put(*R, "reasons", 1, 5), {"E032": 1}),
     (put(*K, "entries", 1, {"knowledge_id": "x.k1", "kind": "topic", "label": "l", "path": ["p"]}), {"E034": 1}), (put(*K, "entries", 1, {"knowledge_id": "solo"}), {"E035": 1}), (put(*I, "index_version", 2), {"E038": 1}), (put(*K, "map_version", None), {"E054": 1}),
     (put(*K, "bank_id", "zz"), {"E039": 1}), (put(*I, "bank_id", 4), {"E040": 1}), (put(*R, "bank_id", "zz"), {"E041": 1}), (put(*Q, "bank_id", ""), {"E042": 1}), (put(*H, "bank_id", "zz"), {"E043": 1}),
-    (put(*I, "sources", 5), {"E044": 1, "E024": 4, "E012": 1, "W014": 1}), (put(*I, "sources", 1, {"source_id": ""}), {"E045": 1, "E047": 4, "E048": 1}), (put(*I, "sources", 1, 6), {"E045": 1}), (put(*S, "display_name", ""), {"E047": 1}), (put(*S, "sha256", "XY"), {"E047": 1, "E012": 1}),
+    (put(*I, "sources", 5), {"E044": 1, "E024": 4, "E012": 1, "W014": 1}), (put(*I, "sources", 1, {"source_id": ""}), {"E045": 1, "E047": 4, "E048": 1}), (put(*I, "sources", 1, 6), {"E045": 1}), (put(*I, "sources", 1, sound()["index"]["sources"][0]), {"E046": 1}), (put(*S, "display_name", ""), {"E047": 1}), (put(*S, "sha256", "XY"), {"E047": 1, "E012": 1}),
     (put(*S, "blocks", {}), {"E048": 1, "E024": 4, "W014": 1, "W008": 1}), (put(*S, "blocks", 1, {"block_id": 3, "start_line": 1, "end_line": 1}), {"E049": 1}), (put(*S, "blocks", 1, {"block_id": "b1", "start_line": 1, "end_line": 1}), {"E050": 1}),
     (put(*BL, "start_line", 0), {"E051": 1}), (put(*BL, "end_line", True), {"E051": 1}), (put(*BL, "start_line", 5), {"E052": 1}), (put(*BL, "page", 3), {"E053": 1}), (put(*Q, "local_number", 0), {"E055": 1}), (put(*Q, "local_number", 1.5), {"E055": 1}), (put(*Q, "local_number", 1.0), {"E055": 1}),
     (put(*Q, "stem_md", "关注公众号 now"), {"E056": 1}), (put(*Q, "distractor_analysis_md", {"A": "![x](y)", "B": 4}), {"E057": 1}), (put(*Q, "context_md", 4), {"E058": 1}), (put(*K, "entries", 1, {"knowledge_id": "x.k2", "kind": "topic", "label": "l", "path": ["p"]}), {"W001": 1}),

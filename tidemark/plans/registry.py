@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidemark.plans import activity, banks, calendar, chapters, enrichment, ingest, lineage, listing, outline, practice, quality, recall, review, search, sequences, statistics, structure, study, summary, terms, text  # noqa: E402, F401
+from tidemark.plans import activity, banks, calendar, chapters, enrichment, gates, ingest, lineage, listing, outline, practice, quality, recall, review, search, sequences, statistics, structure, study, summary, terms, text  # noqa: E402, F401
