@@ -164,6 +164,34 @@ def test_most_specific_and_runs(spark):
     assert [r["rows"] for r in P.runs(turns, "g", "n", "role").orderBy("run").collect()] == [2, 2, 1]
 
 
+def rows_made(df):
+    """Most rows that any step of df made, and its rows."""
+    spark, found = df.sparkSession, []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        rows, steps = df.collect(), [df._jdf.queryExecution().executedPlan()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    while steps:
+        step = steps.pop()
+        made = step.metrics().get("numOutputRows")
+        found.append(made.get().value() if made.isDefined() else 0)
+        steps += [step.children().apply(i) for i in range(step.children().size())]
+    return max(found), rows
+
+
+def test_most_specific_counts_before_it_joins(spark):
+    from tidemark.operators.practice import most_specific
+
+    sections = spark.range(300).select(F.col("id").alias("section_id"), F.expr("IF(id = 7, array('k', 'k.1', null), array('x'))").alias("knowledge_ids"), F.lit("c").alias("chapter_id"))
+    questions = spark.range(200).select(F.col("id").alias("question_id"), F.lit("c").alias("knowledge_id")).unionByName(spark.createDataFrame([(1, "k"), (1, "k.1"), (1, "k.1"), (None, "k.1"), (2, None)], "question_id long, knowledge_id string"))
+    most, rows = rows_made(most_specific(sections, questions))
+    want = {i: (i, "c", 200, 1) for i in range(300)} | {7: (7, "k.1", 1, 0)}
+    assert {r["section_id"]: tuple(r) for r in rows} == want and len(rows) == 300
+    assert most < 2000
+
+
 def test_trees_of_any_depth(spark):
     from tidemark.operators.lineage import breadcrumbs, cyclic_nodes, missing_parents
 

@@ -33,10 +33,10 @@ def most_specific(sections: DataFrame, questions: DataFrame) -> DataFrame:
     """
     own = sections.select("section_id", F.explode("knowledge_ids").alias("knowledge_id")).withColumn("level", F.lit(0))
     chapter = sections.select("section_id", F.col("chapter_id").alias("knowledge_id"), F.lit(1).alias("level"))
-    hits = own.unionByName(chapter).join(questions, "knowledge_id").withColumn("size", F.length("knowledge_id"))
-    best = Window.partitionBy("section_id").orderBy("level", F.desc("size"), "knowledge_id")
-    first = hits.withColumn("best", F.first("knowledge_id").over(best)).where("knowledge_id = best")
-    return first.groupBy("section_id", "knowledge_id").agg(F.count_distinct("question_id").alias("questions"), F.min("level").alias("level"))
+    asked = questions.groupBy("knowledge_id").agg(F.count_distinct("question_id").alias("questions"))  # counted first: a section meets each id once, not each question
+    hits = own.unionByName(chapter).join(asked, "knowledge_id")
+    best = F.min(F.struct("level", (-F.length("knowledge_id")).alias("size"), "knowledge_id", "questions")).alias("best")
+    return hits.groupBy("section_id").agg(best).select("section_id", "best.knowledge_id", "best.questions", "best.level")
 
 
 def in_any_bank(attempts: DataFrame, questions: DataFrame) -> DataFrame:
