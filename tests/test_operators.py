@@ -237,3 +237,12 @@ def test_pages_stream_and_places_by_ranges(spark):
     got = [(r["g"], r["i"]) for r in S.numbered(rows, "place", *order).orderBy("place").collect()]
     assert got == [(g, i) for g, i, _ in sorted(data, key=lambda r: (-r[2], r[0], r[1]))]
     assert [r["place"] for r in S.page(rows, 999, 30, *order).orderBy("place").collect()] == list(range(391, 401))
+
+
+def test_answers_with_one_place_go_wrong_first(spark):
+    from tidemark.operators.recall import answer_states
+
+    rows = [(1, 5, True), (1, 5, None), (1, 5, False), (1, None, True), (2, 5, True), (2, 5, False), (2, 4, True)]
+    for answers in (rows, rows[::-1]):
+        got = answer_states(spark.createDataFrame(answers, "question_id long, ord long, correct boolean").coalesce(1)).collect()
+        assert {tuple(r) for r in got} == {(1, 5, False, False, False), (1, 5, True, True, True), (1, 5, None, True, None), (1, None, True, True, True), (2, 4, True, False, False), (2, 5, False, False, False), (2, 5, True, True, True)}

@@ -48,7 +48,7 @@ def schedule(ratings: DataFrame) -> DataFrame:
 
 
 def answer_states(answers: DataFrame) -> DataFrame:
-    """Per answer (question_id, ord, correct): wrong before, latched, and resolved when right after that."""
-    before = Window.partitionBy("question_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    """Per answer (question_id, ord, correct): wrong before, latched, and resolved when right after that. Of answers with one ord the wrong come first, unknown ones last."""
+    before = Window.partitionBy("question_id").orderBy(F.asc_nulls_last("ord"), F.asc_nulls_last("correct")).rowsBetween(Window.unboundedPreceding, -1)
     wrong = F.coalesce(F.bool_or(~F.col("correct")).over(before), F.lit(False))
     return answers.withColumn("previously_wrong", wrong).withColumn("resolved", F.col("correct") & wrong)
