@@ -246,3 +246,18 @@ def test_answers_with_one_place_go_wrong_first(spark):
     for answers in (rows, rows[::-1]):
         got = answer_states(spark.createDataFrame(answers, "question_id long, ord long, correct boolean").coalesce(1)).collect()
         assert {tuple(r) for r in got} == {(1, 5, False, False, False), (1, 5, True, True, True), (1, 5, None, True, None), (1, None, True, True, True), (2, 4, True, False, False), (2, 5, False, False, False), (2, 5, True, True, True)}
+
+
+def test_numbers_of_halves(spark, tmp_path):
+    """Halves go to the even number, as in the SQL; suppliers without a number come last."""
+    import duckdb
+
+    from tidemark.plans.registry import ORACLES, QUERIES
+
+    rows = [(1, 1, 0.5), (2, 1, 1.0), (3, 1, 2.5), (4, 1, None), (5, 2, 1.5), (6, 2, 3.5), (7, 2, -0.5), (8, 2, -2.5)]
+    path = f"{tmp_path}/supplier.parquet"
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{path}/*.parquet'")
+    got = QUERIES["numbering_findings"](spark, str(tmp_path)).select("s_nationkey", "s_suppkey", "code").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT s_nationkey, s_suppkey, code FROM ({ORACLES['numbering_findings']})").fetchall())

@@ -32,7 +32,7 @@ def without_pages(chapters: DataFrame, pages: DataFrame, key: str) -> DataFrame:
 
 def numbering(df: DataFrame, group: str, number: str, tie: str) -> DataFrame:
     """(tie, code): numbers of a group that come twice, skip one, or do not begin with 1."""
-    by = Window.partitionBy(group).orderBy(number, tie)
+    by = Window.partitionBy(group).orderBy(F.asc_nulls_last(number), F.asc_nulls_last(tie))
     before = F.lag(number).over(by)
     code = F.when(before.isNull() & (F.col(number) != 1), "first_number").when(F.col(number) == before, "order_duplicate").when(F.col(number) > before + 1, "number_gap")
     return df.select(group, tie, code.alias("code")).where("code is not null")

@@ -55,7 +55,7 @@ def node_tree_findings(spark, sf_dir):
 @query("""WITH n AS (SELECT s_suppkey, s_nationkey, CAST(s_acctbal AS BIGINT) % 6 AS n FROM supplier), k AS (SELECT *, lag(n) OVER (PARTITION BY s_nationkey ORDER BY n, s_suppkey) AS b FROM n)
 SELECT s_nationkey, s_suppkey, CASE WHEN b IS NULL THEN 'first_number' WHEN n = b THEN 'order_duplicate' ELSE 'number_gap' END AS code FROM k WHERE (b IS NULL AND n <> 1) OR n = b OR n > b + 1""")
 def numbering_findings(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.round("s_acctbal").cast("long") % 6).alias("n"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.rint("s_acctbal").cast("long") % 6).alias("n"))
     return O.numbering(s, "s_nationkey", "n", "s_suppkey")
 
 
