@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +262,13 @@ def test_numbers_of_halves(spark, tmp_path):
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{path}/*.parquet'")
     got = QUERIES["numbering_findings"](spark, str(tmp_path)).select("s_nationkey", "s_suppkey", "code").collect()
     assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT s_nationkey, s_suppkey, code FROM ({ORACLES['numbering_findings']})").fetchall())
+
+
+def test_names_are_met_in_tasks_of_so_many_rows(spark, monkeypatch):
+    from tidemark.operators import outline as O
+
+    monkeypatch.setattr(O, "ROWS_PER_TASK", 20)
+    declared = spark.range(300).selectExpr("id % 7 AS book", "id % 50 AS name")
+    got = O.set_differences(declared, declared.where("name % 3 != 0").unionByName(spark.createDataFrame([(3, 99), (3, 99), (9, None)], "book long, name long")), "book", "name")
+    assert re.search(r"hashpartitioning\(book#\d+L, name#\d+L, 26\)", got._jdf.queryExecution().executedPlan().toString())  # 501 rows
+    assert {tuple(r) for r in got.collect()} == {(b, len({i % 50 for i in range(300) if i % 7 == b and i % 50 % 3 == 0}), int(b == 3)) for b in range(7)} | {(9, 0, 1)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHORT_PAGE, LONG_PAGE = 300, 30_000
+ROWS_PER_TASK = 500_000
 
 
 def page_findings(pages: DataFrame, last_lines: DataFrame) -> DataFrame:
@@ -51,10 +52,15 @@ def group_starts(df: DataFrame, key: str, group: str, order: str, own: str, mark
 
 
 def set_differences(declared: DataFrame, found: DataFrame, group: str, name: str) -> DataFrame:
-    """Per group: names only declared and only found; groups that agree are left out."""
-    side = lambda df, a, b: df.select(group, name).distinct().withColumns({"d": F.lit(a), "f": F.lit(b)})
-    both = side(declared, 1, 0).unionByName(side(found, 0, 1)).groupBy(group, name).agg(F.sum("d").alias("d"), F.sum("f").alias("f"))
-    return both.groupBy(group).agg(F.count_if(F.col("f") == 0).alias("only_declared"), F.count_if(F.col("d") == 0).alias("only_found")).where("only_declared + only_found > 0")
+    """Per group: names only declared and only found; groups that agree are left out.
+
+    Names are met in tasks of so many rows, whatever the size of the tables; those of both sides go before groups are put together.
+    """
+    side = lambda df, bit: df.select(group, name, F.lit(bit).alias("side"))
+    both = side(declared, 1).unionByName(side(found, 2))
+    tasks = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // ROWS_PER_TASK))
+    one = both.repartition(tasks, group, name).groupBy(group, name).agg(F.bit_or("side").alias("side")).where("side < 3")
+    return one.groupBy(group).agg(F.count_if(F.col("side") == 1).alias("only_declared"), F.count_if(F.col("side") == 2).alias("only_found"))
 
 
 def paired(prompts: DataFrame, references: DataFrame) -> DataFrame:
