@@ -83,3 +83,28 @@ def test_nothing_to_find(spark):
 def test_pattern_residuals(spark):
     docs = spark.createDataFrame([(1, "深覆 深覆盖"), (2, None), (3, "")], "id long, text string")
     assert [tuple(r) for r in T.pattern_residuals(docs, "id", "text", {"deep": "深覆(?!盖)", "none": "x"}).collect()] == [(1, "deep", 1)]
+
+
+class OneBatch:
+    """A table of one batch, for what runs in a task."""
+
+    def __init__(self, texts):
+        import pyarrow as pa
+
+        self.dtypes = [("id", "bigint"), ("text", "string")]
+        self.batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_texts_are_gone_through_few_at_a_time(spark):
+    rules, protected = tables(spark)
+    texts = ["验面 x", None, "", "体验支托"] * 50
+    made = T.occurrences(OneBatch(texts), "id", "text", rules, protected)
+    assert max(b.num_rows for b in made) <= 64
+    assert [x for b in made for x in b.column(2).to_pylist()] == ["𬌗面 x", "", "", "𬌗支托"] * 50
+    assert [x for b in made for x in b.column(0).to_pylist()] == list(range(200))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def chunk(text: str, most: int) -> list[str]:
     return [*out, text[at:]] if text[at:] or not out else out
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of so many texts: what a task makes of them is held for these only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """(key, part from 1, parts, chunk). Cutting is sequential in a text, so it runs in Arrow batches of texts."""
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.documents import few_at_once
+
 SPANS = "array<struct<alias: string, canonical: string, start: int, end: int, guarded: boolean>>"
 
 
@@ -76,7 +78,7 @@ def occurrences(docs: DataFrame, key: str, text: str, rules: DataFrame, protecte
             automaton.add_word(w, (len(w), automaton.get(w)[1] if w in automaton else -1, 0))
         if len(automaton):
             automaton.make_automaton()
-        for batch in batches:
+        for batch in few_at_once(batches):
             out, texts = [], []
             for x in batch.column(1).to_pylist():
                 found, held, x = [], [], x or ""
