@@ -108,3 +108,13 @@ def test_texts_are_gone_through_few_at_a_time(spark):
     assert max(b.num_rows for b in made) <= 64
     assert [x for b in made for x in b.column(2).to_pylist()] == ["𬌗面 x", "", "", "𬌗支托"] * 50
     assert [x for b in made for x in b.column(0).to_pylist()] == list(range(200))
+
+
+def test_chunks_are_cut_few_texts_at_a_time():
+    from tidemark.operators.documents import chunk, chunks
+
+    texts = ["one two three four", None, "", "x" * 25] * 50
+    made = chunks(OneBatch(texts), "id", "text", 10)
+    assert max(len(set(b.column(0).to_pylist())) for b in made) <= 64
+    want = [(i, n + 1, len(cs), c) for i, t in enumerate(texts) for cs in [chunk(t or "", 10)] for n, c in enumerate(cs)]
+    assert [r for b in made for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] == want

@@ -56,12 +56,13 @@ def few_at_once(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[p
 def chunks(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """(key, part from 1, parts, chunk). Cutting is sequential in a text, so it runs in Arrow batches of texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(k, i + 1, len(cs), c) for k, t in zip(batch[key], batch[text], strict=True) for cs in [chunk(t or "", most)] for i, c in enumerate(cs)]
-            yield pd.DataFrame(found, columns=[key, "part", "parts", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_at_once(batches):
+            cut = [chunk(t or "", most) for t in batch.column(1).to_pylist()]
+            row, part, parts, found = (pa.array(x, t) for x, t in zip(zip(*[(r, i + 1, len(cs), c) for r, cs in enumerate(cut) for i, c in enumerate(cs)], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True))
+            yield pa.record_batch([batch.column(0).take(row), part, parts, found], [key, "part", "parts", "chunk"])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, part int, parts int, chunk string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, part int, parts int, chunk string")
 
 
 def pages(rows: DataFrame, group: str, order: str, size: str, most: int, overhead: int = 80) -> DataFrame:
