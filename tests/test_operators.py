@@ -272,3 +272,13 @@ def test_names_are_met_in_tasks_of_so_many_rows(spark, monkeypatch):
     got = O.set_differences(declared, declared.where("name % 3 != 0").unionByName(spark.createDataFrame([(3, 99), (3, 99), (9, None)], "book long, name long")), "book", "name")
     assert re.search(r"hashpartitioning\(book#\d+L, name#\d+L, 26\)", got._jdf.queryExecution().executedPlan().toString())  # 501 rows
     assert {tuple(r) for r in got.collect()} == {(b, len({i % 50 for i in range(300) if i % 7 == b and i % 50 % 3 == 0}), int(b == 3)) for b in range(7)} | {(9, 0, 1)}
+
+
+def test_trees_are_merged_and_not_broadcast(spark, tmp_path):
+    from tidemark.operators.lineage import cyclic_nodes, missing_parents
+
+    spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3), (5, 9), (6, 5)], "id long, parent_id long").write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    for found, ids in ((cyclic_nodes(nodes), {3, 4}), (missing_parents(nodes), {5})):
+        assert {r["id"] for r in found.collect()} == ids
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -33,11 +33,14 @@ def alias_closure(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _climbed(rows: DataFrame, most: int, **add) -> DataFrame:
-    """rows (id, up, ...) with up doubled until it is null or after most hops; add: what a hop adds to columns, from its own (r_) and the upper (s_) row."""
+    """rows (id, up, ...) with up doubled until it is null or after most hops; add: what a hop adds to columns, from its own (r_) and the upper (s_) row.
+
+    Both sides of a join have a row for each node and are merged: their Parquet files are small enough to seem fit for a broadcast.
+    """
     hops = 1
     while hops <= most and not rows.where("up is not null").isEmpty():
         own, upper = (rows.select(*[F.col(c).alias(p + c) for c in rows.columns]) for p in ("r_", "s_"))
-        met = own.join(upper, F.col("r_up") == F.col("s_id"), "left")
+        met = own.join(upper.hint("merge"), F.col("r_up") == F.col("s_id"), "left")
         on = lambda c: F.when(F.col("r_up").isNull(), F.col("r_" + c)).otherwise(F.expr(add[c]))  # noqa: B023, E731
         rows = written(met.where("r_up is null OR s_id is not null").select(F.col("r_id").alias("id"), F.when(F.col("r_up").isNotNull(), F.col("s_up")).alias("up"), *[on(c).alias(c) for c in add]))
         hops *= 2
@@ -53,19 +56,19 @@ def breadcrumbs(spark, nodes: DataFrame) -> DataFrame:
     nodes = written(nodes.select("id", "parent_id", F.col("title").cast("string").alias("title")))
     most = nodes.count()
     rooted = _climbed(nodes.select("id", F.col("parent_id").alias("up")), most)
-    start = nodes.join(rooted, "id").select("id", F.col("parent_id").alias("up"), F.col("title").alias("path"), F.lit(1).alias("depth"), F.col("id").alias("root"))
+    start = nodes.join(rooted.hint("merge"), "id").select("id", F.col("parent_id").alias("up"), F.col("title").alias("path"), F.lit(1).alias("depth"), F.col("id").alias("root"))
     return _climbed(written(start), most, path="concat(s_path, ' / ', r_path)", depth="r_depth + s_depth", root="s_root")
 
 
 def cyclic_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes whose parents never end, those of a missing parent aside. nodes: (id, parent_id)."""
     known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    up = nodes.join(known, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
-    return nodes.select("id").join(_climbed(written(up), nodes.count()), "id", "left_anti")
+    up = nodes.join(known.hint("merge"), "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
+    return nodes.select("id").join(_climbed(written(up), nodes.count()).hint("merge"), "id", "left_anti")
 
 
 def missing_parents(nodes: DataFrame) -> DataFrame:
-    return nodes.where("parent_id is not null").join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    return nodes.where("parent_id is not null").join(nodes.select(F.col("id").alias("parent_id")).hint("merge"), "parent_id", "left_anti")
 
 
 def coverage(intervals: DataFrame, group: str) -> DataFrame:
