@@ -94,10 +94,15 @@ def _n(*conditions: Column) -> Column:
     return out
 
 
+def counted(rules: Sequence[Counted]) -> Column:
+    """(code, n) of the rules that found anything."""
+    each = [F.struct((F.lit(c) if isinstance(c, str) else c).alias("code"), F.coalesce(n.cast("long"), F.lit(0)).alias("n")) for c, n in rules]
+    return F.filter(F.array(*each), lambda f: f["n"] > 0)
+
+
 def fired(rows: DataFrame, place: Column, rules: Sequence[Counted]) -> DataFrame:
     """(bank, place, code, n) of all rules on each row, in one pass."""
-    each = [F.struct((F.lit(c) if isinstance(c, str) else c).alias("code"), F.coalesce(n.cast("long"), F.lit(0)).alias("n")) for c, n in rules]
-    return rows.select("bank", place.alias("place"), F.explode(F.filter(F.array(*each), lambda f: f["n"] > 0)).alias("f")).select("bank", "place", "f.*")
+    return rows.select("bank", place.alias("place"), F.explode(counted(rules)).alias("f")).select("bank", "place", "f.*")
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -289,20 +294,34 @@ def record_rules() -> list[Counted]:
     ]
 
 
-def record_findings(records: DataFrame, known: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Questions: (bank, held, line, v, id). known: (bank, knowledge_id)."""
+def taken(parsed: DataFrame) -> DataFrame:
+    """What all other rules need of questions (bank, held, line, v, id), and found, what the rules on one record say; each JSON is read here and never again.
+
+    fault is the code of a line that is no object; its other columns are null or empty.
+    """
     v, held = F.col("v"), F.col("held")
+    string = lambda path: F.coalesce(at(v, path, "string"), F.lit(""))
+    named = F.filter(items(v, "$.source_refs"), lambda r: is_object(r) & given(r, "$.source_id") & given(r, "$.block_id"))
+    guarded = F.exists(items(v, "$.transformations"), lambda c: F.coalesce(F.contains(at(c, "$.reason", "string"), F.lit(GUARD_REASON)), F.lit(False)))
+    return parsed.withColumn("object", is_object(v)).select(
+        "bank", "held", "line", F.when(~F.col("object"), F.when(held, "E030").when(v.isNull(), "E006").otherwise("E037")).alias("fault"), F.when(F.col("object"), counted(record_rules())).alias("found"),
+        text(v, "$.question_id").alias("question_id"), string("$.unit_key").alias("unit"), string("$.question_type").alias("kind"), text(v, "$.question_type").alias("own_kind"), whole(v, "$.local_number").alias("number"),
+        F.transform(items(v, "$.knowledge_ids"), lambda k: text(k, "$")).alias("knowledge_ids"), F.transform(named, lambda r: F.struct(text(r, "$.source_id").alias("source_id"), text(r, "$.block_id").alias("block_id"))).alias("refs"),
+        F.when(text(v, "$.unit_key") == "use-of-english", string("$.context_md")).alias("cloze"), string("$.source_analysis_md").alias("analysis"), F.coalesce(guarded, F.lit(False)).alias("guarded"),
+    )
+
+
+def record_findings(records: DataFrame, known: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Questions as taken() gives them. known: (bank, knowledge_id)."""
+    held = F.col("held")
     place = F.concat(F.when(held, HELD).otherwise(FORMAL), F.lit(":"), F.col("line"))
-    named = records.withColumn("question_id", text(v, "$.question_id")).where("question_id IS NOT NULL").select("bank", "held", "line", "question_id")
-    keyed = records.where(~held & (whole(v, "$.local_number") >= 1)).select(
-        "bank", "held", "line", F.coalesce(at(v, "$.unit_key", "string"), F.lit("")).alias("unit"), F.coalesce(at(v, "$.question_type", "string"), F.lit("")).alias("kind"), whole(v, "$.local_number").alias("number"))
-    ids = records.select("bank", "held", "line", F.explode(items(v, "$.knowledge_ids")).alias("k")).select("bank", "held", "line", text(F.col("k"), "$").alias("knowledge_id")).where(fits(F.col("knowledge_id"), KNOWLEDGE_ID))
-    r = F.col("r")
-    refs = records.select("bank", "held", "line", F.explode(items(v, "$.source_refs")).alias("r")).where(is_object(r) & given(r, "$.source_id") & given(r, "$.block_id"))
-    refs = refs.select("bank", "held", "line", text(r, "$.source_id").alias("source_id"), text(r, "$.block_id").alias("block_id"))
+    named = records.where("question_id IS NOT NULL").select("bank", "held", "line", "question_id")
+    keyed = records.where(~held & (F.col("number") >= 1)).select("bank", "held", "line", "unit", "kind", "number")
+    ids = records.select("bank", "held", "line", F.explode("knowledge_ids").alias("knowledge_id")).where(fits(F.col("knowledge_id"), KNOWLEDGE_ID))
+    refs = records.select("bank", "held", "line", F.explode("refs").alias("r")).select("bank", "held", "line", "r.*")
     formal = named.where(~held).select("bank", "question_id").distinct()
     return (
-        fired(records, place, record_rules())
+        records.select("bank", place.alias("place"), F.explode("found").alias("f")).select("bank", "place", "f.*")
         .unionByName(_twins(named, place, F.when(held, "E030").otherwise("E014"), "line", "held", "question_id"))
         .unionByName(_twins(keyed, place, F.lit("E028"), "line", "unit", "kind", "number"))
         .unionByName(_each(named.where(held).join(formal, ["bank", "question_id"], "left_semi"), place, "E029"))
@@ -322,14 +341,13 @@ def missing_blanks(context: Column) -> Column:
 
 def content_findings(records: DataFrame) -> DataFrame:
     """W021 once for each distinct cloze passage, W022 for analyses that look spliced, noisy or shared."""
-    v, place = F.col("v"), F.concat(F.lit(FORMAL + ":"), F.col("line"))
+    place = F.concat(F.lit(FORMAL + ":"), F.col("line"))
     formal = records.where(~F.col("held"))
-    cloze = formal.where(text(v, "$.unit_key") == "use-of-english").select("bank", "line", F.coalesce(at(v, "$.context_md", "string"), F.lit("")).alias("context"))
+    cloze = formal.where("cloze IS NOT NULL").select("bank", "line", F.col("cloze").alias("context"))
     first = F.row_number().over(Window.partitionBy("bank", F.sha2("context", 256)).orderBy("line"))
     cloze = cloze.withColumn("first", first).where("first = 1")
-    guarded = F.exists(items(v, "$.transformations"), lambda c: F.coalesce(F.contains(at(c, "$.reason", "string"), F.lit(GUARD_REASON)), F.lit(False)))
     a = F.col("analysis")
-    notes = formal.select("bank", "line", text(v, "$.question_id").alias("question_id"), F.coalesce(at(v, "$.source_analysis_md", "string"), F.lit("")).alias("analysis"), F.coalesce(guarded, F.lit(False)).alias("guarded")).where(~is_blank(a)).withColumn("h", F.sha2(a, 256))
+    notes = formal.select("bank", "line", "question_id", "analysis", "guarded").where(~is_blank(a)).withColumn("h", F.sha2(a, 256))
     shared = notes.where(F.length(a) >= SHARED_ANALYSIS).groupBy("bank", "h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     often = lambda word, n: F.regexp_count(a, F.lit(word)) >= n
     misplaced = F.lit(False)
@@ -346,11 +364,11 @@ def count_findings(heads: DataFrame, formal_files: DataFrame, records: DataFrame
     n = records.groupBy("bank").agg(F.count_if(~F.col("held")).alias("formal"), F.count_if("held").alias("quarantined"))
     counted = heads.join(n, "bank", "left").na.fill(0, ["formal", "quarantined"])
     with_file = counted.join(formal_files, "bank", "left_semi")
-    kinds = records.where(~F.col("held")).select("bank", text(v, "$.question_type").alias("kind")).where("kind IS NOT NULL").groupBy("bank", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = records.where(~F.col("held")).select("bank", F.col("own_kind").alias("kind")).where("kind IS NOT NULL").groupBy("bank", "kind").agg(F.count(F.lit(1)).alias("n"))
     declares = with_file.where(is_object(v, "$.question_type_counts"))
     declared = declares.select("bank", F.explode(at(v, "$.question_type_counts", "map<string,variant>")).alias("kind", "want")).select("bank", "kind", whole(F.col("want"), "$").alias("want"))
     differ = declared.join(kinds.join(declares.select("bank"), "bank", "left_semi"), ["bank", "kind"], "full").where("NOT (want <=> n)").select("bank").distinct()
-    named = records.where(~F.col("held")).select("bank", F.explode(items(v, "$.knowledge_ids")).alias("k")).select("bank", text(F.col("k"), "$").alias("knowledge_id"))
+    named = records.where(~F.col("held")).select("bank", F.explode("knowledge_ids").alias("knowledge_id")).distinct()
     orphans = known.join(formal_files, "bank", "left_semi").join(named, ["bank", "knowledge_id"], "left_anti")
     declared_held = shape(v, "$.quarantined_count") != "VOID"
     return (
@@ -366,7 +384,7 @@ def reason_findings(reasons: DataFrame, records: DataFrame) -> DataFrame:
     """Reasons of quarantined questions: (bank, v, id), for the banks that have any such question."""
     v, r = F.col("v"), F.col("reason")
     held = records.where("held")
-    ids = held.select("bank", text(v, "$.question_id").alias("question_id")).where("question_id IS NOT NULL").distinct()
+    ids = held.select("bank", "question_id").where("question_id IS NOT NULL").distinct()
     wanted = held.select("bank").distinct().join(reasons, "bank", "left")
     objects = wanted.where(is_object(v))
     each = _exploded(objects, "$.reasons", "reason")
@@ -431,15 +449,16 @@ def validate(files: DataFrame, lines: DataFrame, wanted: DataFrame | None = None
     heads = _parsed(banks.join(_json(files, MANIFEST), "bank", "left"))
     ids = heads.select("bank", F.coalesce(text(v, "$.bank.id"), F.lit("")).alias("id"), F.coalesce(is_object(v, "$.bank"), F.lit(False)).alias("has_bank"))
     index, maps = (_parsed(banks.join(_json(files, path), "bank", "left").join(ids, "bank")) for path in (INDEX, MAP))
-    parsed = _parsed(question_texts(lines).join(ids, "bank", "left").na.fill({"id": ""}))
-    records = parsed.where(is_object(v))
+    texts = question_texts(lines).join(ids, "bank", "left").na.fill({"id": ""})
+    parsed = written(taken(texts.withColumn("v", F.try_parse_json("text")).drop("text")))
+    records = parsed.where("fault IS NULL")
     known, blocks = map_entries(maps).select("bank", "knowledge_id").where("knowledge_id IS NOT NULL").distinct(), blocks_of(index)
     formal_files = files.where(F.col("path") == FORMAL).select("bank").distinct()
     place = F.concat(F.when(held, HELD).otherwise(FORMAL), F.lit(":"), F.col("line"))
     parts = [
         manifest_findings(heads, files), index_findings(index), map_findings(maps, blocks), record_findings(records, known, blocks), content_findings(records),
         count_findings(heads, formal_files, records, known), reason_findings(_parsed(_json(files, REASONS).join(ids, "bank")), records), source_findings(heads, index),
-        fired(parsed, place, [(F.when(held, "E030").when(v.isNull(), "E006").otherwise("E037"), v.isNull() | ~is_object(v))]),
+        _each(parsed.where("fault IS NOT NULL"), place, F.col("fault")),
     ]
     if wanted is not None:
         parts.append(_each(wanted.join(banks, "bank", "left_anti"), F.lit(""), "E001"))
