@@ -18,6 +18,15 @@ def test_section_guides(spark):
     assert guide(spark, "## ...\n## b\n## c", None) == [(2, 2, "b", "level"), (3, 2, "c", "level")]
 
 
+def test_section_guides_reads_lines_once(spark):
+    rows = spark.range(77).selectExpr("IF(id < 70, id DIV 7, NULL) AS doc", "id % 7 + 1 AS line_no", "array('## lost', '# Own', '## a', '```', '## code', '```', concat('## b', id))[id % 7] AS line")
+    titles = spark.range(10).selectExpr("id AS doc", "IF(id % 2 = 0, 'own', NULL) AS title")
+    got = C.section_guides(rows, titles.unionByName(titles.where("doc = 0")), "doc")
+    want = {(d, n, x) for d in range(10) for n, x in ([(2, "Own")] if d % 2 else [(3, "a"), (7, f"b{7 * d + 6}")])}
+    assert {(r["doc"], r["line_no"], r["title"]) for r in got.collect()} == want and got.count() == len(want)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 77,") == 1
+
+
 def test_heading_repairs(spark):
     text = ["## 第", "", "## 段原文", "x", "## 第1段原文", "## 段原文", "##第 3 段原文", "## 第4段原文", "## 第", "y", "## 段原文"]
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(text, 1)] + [(2, 1, "## 第"), (2, 2, None)], "page long, line_no long, line string")

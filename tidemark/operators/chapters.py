@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.documents import outside_fences
-
-# Headings, the two tiers that go before heading levels, titles that are no part of an outline, and what headings are compared without.
-HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+# Fences of code, headings, the two tiers that go before heading levels, titles that are no part of an outline, and what headings are compared without.
+FENCE, HEADING = "```", r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 POINT, MAJOR = r"(?i)^考点\s*\d+", r"^[一二三四五六七八九十百]+[、.．]\s*"
 NO_PART = r"^第[一二三四五六七八九十百零〇\d]+章|^>{0,2}\s*导言$"
 KEY_DROPPED = r"(?U)[*_`~#\s·•:,。.!?()\[\]【】]+"
@@ -30,14 +28,19 @@ def section_guides(rows: DataFrame, titles: DataFrame, key: str) -> DataFrame:
     two, else major ones where there are two, else those of the shallowest level where there are two headings; of equal ones the first.
     Lines in code fences are no headings.
     """
-    h = outside_fences(rows, key).where("outside").select(key, "line_no", F.regexp_extract("line", HEADING, 1).alias("marks"), F.trim(F.regexp_extract("line", HEADING, 2)).alias("title")).where("marks != ''")
-    h = h.join(titles.select(key, heading_key(F.col("title")).alias("own")), key, "left").withColumn("same", heading_key(F.col("title")))
-    begin = h.where("same = own").groupBy(key).agg(F.min("line_no").alias("begin"))
-    h = h.join(begin, key, "left").where("(begin IS NULL OR line_no > begin) AND title != '' AND same IS DISTINCT FROM own").where(~F.col("title").rlike(NO_PART))
-    h = h.select(key, "line_no", F.length("marks").alias("level"), "title", "same", F.col("title").rlike(POINT).alias("point"), F.col("title").rlike(MAJOR).alias("major"))
-    counts = h.groupBy(key).agg(F.count_if("point").alias("points"), F.count_if("major").alias("majors"), F.count(F.lit(1)).alias("all"), F.min("level").alias("shallowest"))
+    is_fence = F.col("line").startswith(FENCE)
+    some = rows.where(F.col(key).isNotNull() & (is_fence | F.col("line").rlike(HEADING)))  # the only lines that are shuffled
+    some = some.select(key, "line_no", is_fence.alias("fence"), F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), F.trim(F.regexp_extract("line", HEADING, 2)).alias("title"))
+    some = some.select("*", heading_key(F.col("title")).alias("same"), F.col("title").rlike(NO_PART).alias("no_part"), F.col("title").rlike(POINT).alias("point"), F.col("title").rlike(MAJOR).alias("major"))
+    some = some.withColumn("title", F.when(~F.col("no_part"), F.col("title")))
+    named = titles.where(F.col(key).isNotNull()).select(key, heading_key(F.col("title")).alias("own"))  # these rows have no line_no, so they come first
+    whole, upto = Window.partitionBy(key), Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    h = some.unionByName(named, allowMissingColumns=True).select("*", F.first("own").over(upto).alias("name"), F.count_if("fence").over(upto).alias("fences")).where("line_no IS NOT NULL AND NOT fence AND fences % 2 = 0")
+    h = h.withColumn("begin", F.min(F.when(F.col("same") == F.col("name"), F.col("line_no"))).over(whole)).where("(begin IS NULL OR line_no > begin) AND NOT no_part AND title != '' AND same IS DISTINCT FROM name")
+    counts = F.count_if("point").over(whole), F.count_if("major").over(whole), F.count(F.lit(1)).over(whole)
+    h = h.select(key, "line_no", "level", "title", "same", "point", "major", *[c.alias(n) for c, n in zip(counts, ("points", "majors", "all"), strict=True)], F.min("level").over(whole).alias("shallowest"))
     tier = F.when(F.col("points") >= 2, "point").when(F.col("majors") >= 2, "major").when(F.col("all") >= 2, "level")
-    chosen = h.join(counts.select(key, tier.alias("tier"), "shallowest"), key).where("(tier = 'point' AND point) OR (tier = 'major' AND major) OR (tier = 'level' AND level = shallowest)")
+    chosen = h.withColumn("tier", tier).where("(tier = 'point' AND point) OR (tier = 'major' AND major) OR (tier = 'level' AND level = shallowest)")
     first = chosen.where("same != ''").groupBy(key, "tier", "same").agg(F.min(F.struct("line_no", "level", "title")).alias("h"))
     return first.select(key, "h.line_no", "h.level", "h.title", "tier")
 
